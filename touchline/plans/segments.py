@@ -131,26 +131,28 @@ def running_max(
 
 
 def count_since(
-    df: DataFrame, keys: Sequence[str], order: Sequence, reset: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence, reset: Column, name: str, count_reset: bool = True
 ) -> DataFrame:
-    """Rows since the last reset row, that row counting one; all rows so far if there was none."""
+    """Rows since the last reset row; all rows so far if there was none.
+
+    The reset row itself counts one, or nothing with ``count_reset=False``.
+    """
+    own = 1 if count_reset else 0
     w = _within(keys, order)
     local = df.withColumn("_reset", reset).withColumn("_i", F.row_number().over(w))
     ends = local.groupBy(*keys, SEG).agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_reset"), F.col("_i"))).alias("_at")
     )
     so_far = ends.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)))
-    marks = so_far.withColumn("_mark", F.col("_before") + F.col("_at") - 1)
+    marks = so_far.withColumn("_mark", F.col("_before") + F.col("_at") - own)
     carry = marks.select(
         *keys, SEG,
         (F.col("_before") - F.coalesce(F.last("_mark", ignorenulls=True).over(_earlier(keys)), F.lit(0))).alias("_carry"),
     )
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.last(F.when(F.col("_reset"), F.col("_i")), ignorenulls=True).over(running)
-    return _attach(local, carry, keys).select(
-        df["*"],
-        F.when(at.isNotNull(), F.col("_i") - at + 1).otherwise(F.col("_i") + F.col("_carry")).cast("bigint").alias(name),
-    )
+    count = F.when(at.isNotNull(), F.col("_i") - at + own).otherwise(F.col("_i") + F.col("_carry"))
+    return _attach(local, carry, keys).select(df["*"], count.cast("bigint").alias(name))
 
 
 def with_halo(

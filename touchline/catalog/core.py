@@ -395,10 +395,10 @@ FEATURE_PARTS = "pl cen bv hyp hist"
 
 
 @query("match_features", f"[{FEATURE_PARTS}] AND {_FEATURES_CTES} SELECT match_id, att AS attacking_team, period, count(*) AS n, "
-       + ", ".join(f"round(avg({f}),4) AS {f}" for f in C.FEATURES) + " FROM feat GROUP BY 1, 2, 3")
+       + ", ".join(f"{R(f'avg({f})')} AS {f}" for f in C.FEATURES) + " FROM feat GROUP BY 1, 2, 3")
 def match_features(spark, d):
     f = T.match_features(spark, d)
-    return f.groupBy("match_id", "attacking_team", "period").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in C.FEATURES])
+    return f.groupBy("match_id", "attacking_team", "period").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(c)).alias(c) for c in C.FEATURES])
 
 
 _SCORE = """CASE WHEN is_dead_ball>0.5::DOUBLE THEN 0 ELSE 1::DOUBLE/(1::DOUBLE+exp(-(-3.2::DOUBLE+3.6::DOUBLE*least(greatest((ball_x+1)/2,0),1)

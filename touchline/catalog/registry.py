@@ -157,6 +157,8 @@ def with_parts(sql: str) -> str:
     recursive = "RECURSIVE " if RECURSIVE & set(order) else ""
     # the body may add its own parts after "AND"
     body = body.strip()
+    if body.startswith("AND RECURSIVE_ "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.startswith("AND "):
         return f"WITH {recursive}{ctes},\n{body[4:]}"
     return f"WITH {recursive}{ctes}\n{body}"

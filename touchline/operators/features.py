@@ -5,11 +5,10 @@ back at most 120 s, so frames are cut into blocks with a halo and shuffled once;
 the halo only where a velocity needs them. All player arithmetic happens inside the row.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import constants as C
-from touchline.functions import geometry as geo
 from touchline.plans import segments
 
 BLOCK = 16384
@@ -55,96 +54,78 @@ def velocities(
 
     Adds ``ball_vx``, ``ball_vy`` and, when players are present, ``vx``/``vy`` inside each player.
     """
-    per = F.lit(span * (1.0 / frame_rate))
-    w = Window.partitionBy(*BLOCK_KEY).orderBy("period_row")
+    per = f"{span * (1.0 / frame_rate)!r}D"
+    block = "PARTITION BY match_id, period, _blk"
+    lag = lambda c: f"lag({c}, {span}) OVER ({block} ORDER BY period_row)"
     rows = _blocks(frames, reach or span, width)
+    kept = [c for c in rows.columns if c != "players"]
     with_players = "players" in frames.columns
+    late, first = f"period_row > {span}", f"period_row = {span + 1}"
+    step1 = [*kept, f"{lag('ball_x')} AS _bx", f"{lag('ball_y')} AS _by"]
+    step2 = [*kept, f"CASE WHEN {late} THEN struct((ball_x - _bx) / {per} AS x, (ball_y - _by) / {per} AS y) END AS _v"]
+    step3 = ["*", f"max(CASE WHEN {first} THEN _v END) OVER ({block}) AS _v0"]
     if with_players:
-        needed = ~F.col("_halo") | ((F.col("period_row") - 1) % width >= width - span)
-        rows = rows.withColumn("players", F.when(needed, F.col("players")))
-        rows = rows.withColumn("_back", F.lag("players", span).over(w))
-    rows = rows.withColumn("_bx", F.lag("ball_x", span).over(w)).withColumn("_by", F.lag("ball_y", span).over(w))
-    late = F.col("period_row") > span
-    ball = F.when(late, F.struct(
-        ((F.col("ball_x") - F.col("_bx")) / per).alias("x"), ((F.col("ball_y") - F.col("_by")) / per).alias("y")))
-    rows = rows.withColumn("_v", ball)
-    first = F.col("period_row") == span + 1
-    whole = Window.partitionBy(*BLOCK_KEY)
-    rows = rows.withColumn("_v0", F.max(F.when(first, F.col("_v"))).over(whole))
-    still = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    rows = rows.withColumn("_v", F.coalesce(F.col("_v"), F.col("_v0"), still))
-    out = rows.withColumn("ball_vx", F.col("_v.x")).withColumn("ball_vy", F.col("_v.y"))
+        near = f"NOT _halo OR (period_row - 1) % {width} >= {width - span}"
+        rows = rows.withColumn("players", F.expr(f"CASE WHEN {near} THEN players END"))
+        step1 += ["players", f"{lag('players')} AS _back"]
+        step2 += ["players", f"CASE WHEN {late} THEN zip_with(players, _back, (p, b) -> "
+                  f"struct((p.x - b.x) / {per} AS x, (p.y - b.y) / {per} AS y)) END AS _pv"]
+        step3 += [f"first(CASE WHEN {first} THEN _pv END, true) OVER ({block}) AS _pv0"]
+    moved = rows.selectExpr(*step1).selectExpr(*step2).selectExpr(*step3)
+    speed = "coalesce(_v, _v0, struct(0D AS x, 0D AS y))"
+    out = [*kept, f"{speed}.x AS ball_vx", f"{speed}.y AS ball_vy"]
     if with_players:
-        moved = F.when(late, F.zip_with("players", "_back", lambda p, b: F.struct(
-            ((p["x"] - b["x"]) / per).alias("x"), ((p["y"] - b["y"]) / per).alias("y"))))
-        out = out.withColumn("_pv", moved).withColumn(
-            "_pv0", F.first(F.when(first, F.col("_pv")), ignorenulls=True).over(whole)
-        )
-        speed = F.coalesce("_pv", "_pv0", F.transform("players", lambda p: still))
-        out = out.withColumn("players", F.when(F.col("players").isNotNull(), F.zip_with(
-            "players", speed,
-            lambda p, v: F.struct(p["team"].alias("team"), p["player_id"].alias("player_id"), p["is_gk"].alias("is_gk"),
-                                  p["x"].alias("x"), p["y"].alias("y"), v["x"].alias("vx"), v["y"].alias("vy")))))
-        out = out.drop("_pv", "_pv0", "_back")
-    out = out.drop("_bx", "_by", "_v", "_v0")
-    return out if keep_halo else out.filter(~F.col("_halo")).drop("_halo", "_blk")
-
-
-def _micros(seconds: Column) -> Column:
-    """Integer microseconds: lookback limits are decided on these, not on float noise."""
-    return F.rint(seconds * F.lit(1e6)).cast("bigint")
-
-
-def entry_history(
-    rows: DataFrame, lookback_s: float = C.BOX_ENTRY_LOOKBACK_S, in_box: dict[str, Column] | None = None
-) -> DataFrame:
-    """Entries in the last ``lookback_s`` and time since the last one, own entry excluded.
+        out.append(
+            "CASE WHEN players IS NOT NULL THEN zip_with(players, coalesce(_pv, _pv0, transform(players, p -> struct(0D AS x, 0D AS y))), "
+            "(p, v) -> struct(p.team AS team, p.player_id AS player_id, p.is_gk AS is_gk, p.x AS x, p.y AS y, v.x AS vx, v.y AS vy)) END AS players")
+    result = moved.selectExpr(*out)
+    return result if keep_halo else result.filter("NOT _halo").drop("_halo", "_blk")
+
+
+def _inside(x: str, y: str) -> str:
+    return f"coalesce({x} >= {C.BOX_X_MIN}D AND {x} <= {C.HALF_LENGTH}D AND abs({y}) <= {C.BOX_Y_MAX}D, false)"
+
+
+def entry_history(rows: DataFrame, lookback_s: float = C.BOX_ENTRY_LOOKBACK_S) -> DataFrame:
+    """Entries in the last ``lookback_s`` and time since the last one, own entry excluded, per side.
 
     ``rows`` are blocks whose halo covers the lookback. An entry adds one just after its own row
     and takes it away once the lookback has passed, so a running sum replaces a sliding frame.
+    Limits are decided on integer microseconds, not on float noise.
     """
-    in_box = in_box or {
-        side: geo.in_box(F.col("ball_x") * F.col(f"{side}_sign"), F.col("ball_y") * F.col(f"{side}_sign"))
-        for side in C.TEAMS
-    }
-    w = Window.partitionBy(*BLOCK_KEY).orderBy("period_row")
-    sides = list(in_box)
-    flagged = rows
-    for side, inside in in_box.items():
-        flagged = flagged.withColumn(f"_in_{side}", inside)
-        edge = F.col(f"_in_{side}") & ~F.lag(f"_in_{side}").over(w)
-        flagged = flagged.withColumn(f"_edge_{side}", F.coalesce(edge, F.lit(False)))
-    t, us = F.col("time_s"), _micros(F.col("time_s"))
-    columns = [c for c in flagged.columns if c not in BLOCK_KEY]
-    none = F.lit(None)
-
-    def mark(at, kind, deltas, row):
-        return F.struct(
-            at.alias("us"), F.lit(kind).alias("kind"),
-            *[F.lit(deltas.get(s, 0)).alias(f"d_{s}") for s in sides],
-            *[(t if deltas.get(s, 0) > 0 else none.cast("double")).alias(f"e_{s}") for s in sides],
-            row.alias("row"),
-        )
-
-    row = F.struct(*columns)
-    empty = none.cast(flagged.select(row.alias("r")).schema["r"].dataType)
-    marks = F.array(mark(us, 0, {}, row))
-    later = us + int(lookback_s * 1e6)
-    for side in sides:
-        pair = F.array(mark(us, 1, {side: 1}, empty), mark(later, 1, {side: -1}, empty))
-        marks = F.concat(marks, F.when(F.col(f"_edge_{side}"), pair).otherwise(F.slice(marks, 1, 0)))
-    order = Window.partitionBy(*BLOCK_KEY).orderBy("_m.us", "_m.kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = flagged.select(*BLOCK_KEY, F.explode(marks).alias("_m")).select(
-        *BLOCK_KEY, "_m",
-        *[F.sum(F.col(f"_m.d_{s}")).over(order).alias(f"_n_{s}") for s in sides],
-        *[F.last(F.col(f"_m.e_{s}"), ignorenulls=True).over(order).alias(f"_last_{s}") for s in sides],
-    ).filter((F.col("_m.kind") == 0) & ~F.col("_m.row._halo"))
-    limit = F.lit(float(lookback_s))
-    return counted.select(
-        "match_id", "period",
-        *[F.col("_m.row")[c].alias(c) for c in columns if c != "_halo" and not c.startswith("_in_")],
-        *[F.col(f"_n_{s}").alias(f"{s}_entries") for s in sides],
-        *[F.least(limit, F.coalesce(F.col("_m.row.time_s") - F.col(f"_last_{s}"), limit)).alias(f"{s}_since") for s in sides],
+    key = ", ".join(BLOCK_KEY)
+    block = f"PARTITION BY {key}"
+    columns = [c for c in rows.columns if c not in BLOCK_KEY]
+    flagged = rows.selectExpr("*", *[
+        f"{_inside(f'ball_x * {s}_sign', f'ball_y * {s}_sign')} AS _in_{s}" for s in C.TEAMS
+    ]).selectExpr(*BLOCK_KEY, *columns, *[
+        f"coalesce(_in_{s} AND NOT lag(_in_{s}) OVER ({block} ORDER BY period_row), false) AS _edge_{s}" for s in C.TEAMS
+    ])
+    us = "cast(rint(time_s * 1e6D) AS bigint)"
+    types = dict(rows.dtypes)
+    row = f"struct({', '.join(columns)})"
+    empty = f"cast(null AS struct<{','.join(f'`{c}`:{types[c]}' for c in columns)}>)"
+
+    def mark(at: str, kind: int, side: str, delta: int, payload: str) -> str:
+        e = "time_s" if delta > 0 else "cast(null AS double)"
+        return f"struct({at} AS us, {kind} AS kind, '{side}' AS side, {delta} AS delta, {e} AS entry_s, {payload} AS row)"
+
+    own = f"array({mark(us, 0, '', 0, row)})"
+    pairs = [
+        f"CASE WHEN _edge_{s} THEN array({mark(us, 1, s, 1, empty)}, {mark(f'{us} + {int(lookback_s * 1e6)}L', 1, s, -1, empty)}) ELSE array() END"
+        for s in C.TEAMS
+    ]
+    upto = f"OVER ({block} ORDER BY _m.us, _m.kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counted = flagged.selectExpr(*BLOCK_KEY, f"explode(concat({own}, {', '.join(pairs)})) AS _m").selectExpr(
+        *BLOCK_KEY, "_m.kind AS _kind", "_m.row AS _row",
+        *[f"sum(CASE WHEN _m.side = '{s}' THEN _m.delta ELSE 0 END) {upto} AS _n_{s}" for s in C.TEAMS],
+        *[f"last(CASE WHEN _m.side = '{s}' THEN _m.entry_s END, true) {upto} AS _last_{s}" for s in C.TEAMS],
+    ).filter("_kind = 0 AND NOT _row._halo")
+    limit = f"{float(lookback_s)!r}D"
+    return counted.selectExpr(
+        "match_id", "period", *[f"_row.{c} AS {c}" for c in columns if c != "_halo"],
+        *[f"_n_{s} AS {s}_entries" for s in C.TEAMS],
+        *[f"least({limit}, coalesce(_row.time_s - _last_{s}, {limit})) AS {s}_since" for s in C.TEAMS],
     )
 
 
@@ -158,146 +139,114 @@ def box_entry_history(
     return entry_history(rows, lookback_s)
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-
-def _mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, _total(values) / F.size(values))
+def _mean(a: str) -> str:
+    return f"(aggregate({a}, 0D, (a, v) -> a + v) / nullif(size({a}), 0))"
 
 
-def _std(values: Column, mean: Column) -> Column:
-    squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values)))
+def _std(a: str, mean: str) -> str:
+    return f"sqrt(aggregate({a}, 0D, (a, v) -> a + (v - {mean}) * (v - {mean})) / nullif(size({a}), 0))"
 
 
-def _present(players: Column, field: str) -> Column:
-    return F.filter(F.transform(players, lambda p: p[field]), lambda v: v.isNotNull())
+def _known(players: str, field: str) -> str:
+    return f"filter(transform({players}, p -> p.{field}), v -> v IS NOT NULL)"
 
 
-def _count(players: Column, test) -> Column:
-    return F.size(F.filter(players, test)).cast("double")
+def _dist(x: str, y: str, tx: str, ty: str) -> str:
+    return f"sqrt(({x} - {tx}) * ({x} - {tx}) + ({y} - {ty}) * ({y} - {ty}))"
 
 
-def _or(value: Column, fill: float) -> Column:
-    return F.coalesce(value, F.lit(float(fill)))
+def _count(players: str, test: str) -> str:
+    return f"cast(size(filter({players}, p -> {test})) AS double)"
 
 
 def _hypotheses(history: DataFrame) -> DataFrame:
     """Each frame twice: home attacking, away attacking, coordinates turned so attack is +x."""
-    hypothesis = F.explode(F.array(*[
-        F.struct(
-            F.lit(s).alias("attacking_team"), F.col(f"{s}_sign").cast("double").alias("sign"),
-            F.col(f"{s}_entries").cast("double").alias("entries"), F.col(f"{s}_since").alias("since"),
-        )
+    sides = ", ".join(
+        f"struct('{s}' AS attacking_team, cast({s}_sign AS double) AS sign, cast({s}_entries AS double) AS entries, {s}_since AS since)"
         for s in C.TEAMS
-    ]))
-    doubled = history.withColumn("_h", hypothesis)
-    sign = F.col("_h.sign")
-
-    def turned(attacking: bool):
-        side = lambda p: p["team"] == F.col("_h.attacking_team")
-        chosen = F.filter("players", side if attacking else (lambda p: ~side(p)))
-        return F.transform(chosen, lambda p: F.struct(
-            p["is_gk"].alias("is_gk"), (p["x"] * sign).alias("x"), (p["y"] * sign).alias("y"),
-            (p["vx"] * sign).alias("vx")))
-
-    return (
-        doubled.withColumn("_bx", F.col("ball_x") * sign).withColumn("_by", F.col("ball_y") * sign)
-        .withColumn("_vx", F.col("ball_vx") * sign).withColumn("_vy", F.col("ball_vy") * sign)
-        .withColumn("_att", turned(True)).withColumn("_def", turned(False))
+    )
+    turned = "struct(p.is_gk AS is_gk, p.x * _h.sign AS x, p.y * _h.sign AS y, p.vx * _h.sign AS vx)"
+    pick = lambda op: f"transform(filter(players, p -> p.team {op} _h.attacking_team), p -> {turned})"
+    return history.selectExpr("*", f"explode(array({sides})) AS _h").selectExpr(
+        *[c for c in history.columns if c != "players"], "_h", "ball_x * _h.sign AS _bx", "ball_y * _h.sign AS _by",
+        "ball_vx * _h.sign AS _vx", "ball_vy * _h.sign AS _vy", f"{pick('=')} AS _att", f"{pick('<>')} AS _def",
     )
 
 
 def _measures(doubled: DataFrame) -> DataFrame:
-    """Intermediate arrays and means, computed once per row."""
-    bx, by = F.col("_bx"), F.col("_by")
-    outfield = lambda side: F.filter(side, lambda p: ~p["is_gk"])
-    to_ball = lambda side: F.sort_array(F.filter(
-        F.transform(side, lambda p: geo.distance(p["x"], p["y"], bx, by)), lambda d: d.isNotNull()))
-    keepers = F.filter("_def", lambda p: p["is_gk"])
-    deepest = F.get(F.array_sort(
-        F.transform(F.filter("_def", lambda p: p["x"].isNotNull()), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))), F.lit(0))
-    keeper = F.when(
-        F.size(keepers) > 0,
-        F.struct(F.get(keepers, F.lit(0))["x"].alias("x"), F.get(keepers, F.lit(0))["y"].alias("y")),
-    ).otherwise(deepest)
-    step = (
-        doubled.withColumn("_att_out", outfield(F.col("_att"))).withColumn("_def_out", outfield(F.col("_def")))
-        .withColumn("_ax", _present(F.col("_att_out"), "x")).withColumn("_ay", _present(F.col("_att_out"), "y"))
-        .withColumn("_dx", F.sort_array(_present(F.col("_def_out"), "x")))
-        .withColumn("_def_d", to_ball(F.col("_def"))).withColumn("_att_d", to_ball(F.col("_att")))
-        .withColumn("_gk", keeper)
+    """Arrays and means several features read, computed once per row."""
+    near = lambda side: f"sort_array(filter(transform({side}, p -> {_dist('p.x', 'p.y', '_bx', '_by')}), v -> v IS NOT NULL))"
+    keeper = "filter(_def, p -> p.is_gk)"
+    deepest = "get(array_sort(transform(filter(_def, p -> p.x IS NOT NULL), p -> struct(p.x AS x, p.y AS y))), 0)"
+    arrays = doubled.selectExpr(
+        "*", "filter(_def, p -> NOT p.is_gk) AS _def_out", "filter(_att, p -> NOT p.is_gk) AS _att_out",
+        f"{near('_def')} AS _dd", f"{near('_att')} AS _ad",
+        # without a marked keeper the defender with the smallest x stands in
+        f"CASE WHEN exists(_def, p -> p.is_gk) THEN struct(get({keeper}, 0).x AS x, get({keeper}, 0).y AS y) ELSE {deepest} END AS _gk",
     )
-    return (
-        step.withColumn("_ax_mean", _mean(F.col("_ax"))).withColumn("_ay_mean", _mean(F.col("_ay")))
-        .withColumn("_dx_mean", _or(_mean(F.col("_dx")), 0)).withColumn("_dy_mean", _or(_mean(_present(F.col("_def"), "y")), 0))
+    values = arrays.selectExpr(
+        "*", f"{_known('_att_out', 'x')} AS _ax", f"{_known('_att_out', 'y')} AS _ay",
+        f"sort_array({_known('_def_out', 'x')}) AS _dx", f"{_known('_def', 'y')} AS _dy",
+        f"{_known('_att', 'vx')} AS _av", f"{_known('_def', 'vx')} AS _dv",
+    )
+    return values.selectExpr(
+        "*", f"{_mean('_ax')} AS _ax_mean", f"{_mean('_ay')} AS _ay_mean",
+        f"coalesce({_mean('_dx')}, 0D) AS _dx_mean", f"coalesce({_mean('_dy')}, 0D) AS _dy_mean",
     )
 
 
-def _second(distances: Column, side: Column) -> Column:
+def feature_expressions() -> dict[str, str]:
+    far, goal, third = f"{C.FAR_M}D", f"{C.HALF_LENGTH}D", f"{C.FINAL_THIRD_X}D"
+    half_goal = f"{C.GOAL_HALF_WIDTH}D"
+    angle = f"abs(atan2({half_goal} - _by, {goal} - _bx) - atan2(-{half_goal} - _by, {goal} - _bx))"
     # a squad of one has no second nearest: the nearest stands in
-    return F.when(F.size(side) > 1, F.get(distances, F.lit(1))).otherwise(F.get(distances, F.lit(0)))
-
-
-def feature_columns() -> dict[str, Column]:
-    bx, by, vx, vy = (F.col(c) for c in ("_bx", "_by", "_vx", "_vy"))
-    att, dfn, dd, ad, gk = (F.col(c) for c in ("_att", "_def", "_def_d", "_att_d", "_gk"))
-    att_v, def_v = _present(att, "vx"), _present(dfn, "vx")
-    three = F.slice(dd, 1, 3)
-    spread = F.filter(
-        F.transform("_def_out", lambda p: geo.distance(p["x"], p["y"], F.col("_dx_mean"), F.col("_dy_mean"))),
-        lambda d: d.isNotNull(),
-    )
-    cone = F.filter(
-        F.transform(dfn, lambda p: F.when(
-            (p["x"] > bx) & (F.abs(F.atan2(p["y"] - by, F.greatest(p["x"] - bx, F.lit(1e-6)))) <= F.pi() / 4.0),
-            geo.distance(p["x"], p["y"], bx, by))),
-        lambda d: d.isNotNull(),
+    second = lambda d, side: f"CASE WHEN size({side}) > 1 THEN get({d}, 1) ELSE get({d}, 0) END"
+    spread = f"filter(transform(_def_out, p -> {_dist('p.x', 'p.y', '_dx_mean', '_dy_mean')}), v -> v IS NOT NULL)"
+    cone = (
+        f"filter(transform(_def, p -> CASE WHEN p.x > _bx AND abs(atan2(p.y - _by, greatest(p.x - _bx, 1e-6D))) <= pi() / 4 "
+        f"THEN {_dist('p.x', 'p.y', '_bx', '_by')} END), v -> v IS NOT NULL)"
     )
-    gap = F.greatest(F.lit(C.HALF_LENGTH) - bx, F.lit(0.0))
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
-        "ball_x": _or(bx / C.HALF_LENGTH, 0),
-        "ball_y_abs": _or(F.abs(by) / C.HALF_WIDTH, 0),
-        "ball_speed": _or(F.sqrt(vx * vx + vy * vy), 0),
-        "ball_v_goalward": _or(vx, 0),
-        "ball_v_lateral": _or(F.abs(vy), 0),
-        "ball_dist_to_goal": _or(geo.goal_distance(bx, by), 0),
-        "ball_goal_angle": geo.goal_angle(bx, by),
-        "ball_in_final_third": flag(bx >= C.FINAL_THIRD_X),
-        "ball_in_box": geo.in_box(bx, by).cast("double"),
-        "attackers_ahead_of_ball": _count(att, lambda p: p["x"] > bx),
-        "attackers_in_box": _count(att, lambda p: geo.in_box(p["x"], p["y"])),
-        "attackers_in_final_third": _count(att, lambda p: p["x"] >= C.FINAL_THIRD_X),
-        "attack_centroid_x": _or(F.col("_ax_mean"), 0),
-        "attack_width": _or(_std(F.col("_ay"), F.col("_ay_mean")), 0),
-        "attack_depth": _or(_std(F.col("_ax"), F.col("_ax_mean")), 0),
-        "attack_highest_x": _or(F.array_max("_ax"), 0),
-        "attack_mean_v_goalward": _or(_mean(att_v), 0),
-        "attackers_moving_goalward": _count(att, lambda p: p["vx"] > 0.5),
-        "defenders_in_box": _count(dfn, lambda p: geo.in_box(p["x"], p["y"])),
-        "defenders_goalside_of_ball": _count(dfn, lambda p: p["x"] > bx),
+        "ball_x": f"coalesce(_bx / {goal}, 0D)",
+        "ball_y_abs": f"coalesce(abs(_by) / {C.HALF_WIDTH}D, 0D)",
+        "ball_speed": "coalesce(sqrt(_vx * _vx + _vy * _vy), 0D)",
+        "ball_v_goalward": "coalesce(_vx, 0D)",
+        "ball_v_lateral": "coalesce(abs(_vy), 0D)",
+        "ball_dist_to_goal": f"coalesce({_dist('_bx', '_by', goal, '0D')}, 0D)",
+        "ball_goal_angle": f"coalesce(CASE WHEN {goal} - _bx > 0 THEN {angle} END, 0D)",
+        "ball_in_final_third": f"cast(coalesce(_bx >= {third}, false) AS double)",
+        "ball_in_box": f"cast({_inside('_bx', '_by')} AS double)",
+        "attackers_ahead_of_ball": _count("_att", "p.x > _bx"),
+        "attackers_in_box": _count("_att", _inside("p.x", "p.y")),
+        "attackers_in_final_third": _count("_att", f"p.x >= {third}"),
+        "attack_centroid_x": "coalesce(_ax_mean, 0D)",
+        "attack_width": f"coalesce({_std('_ay', '_ay_mean')}, 0D)",
+        "attack_depth": f"coalesce({_std('_ax', '_ax_mean')}, 0D)",
+        "attack_highest_x": "coalesce(array_max(_ax), 0D)",
+        "attack_mean_v_goalward": f"coalesce({_mean('_av')}, 0D)",
+        "attackers_moving_goalward": "cast(size(filter(_av, v -> v > 0.5D)) AS double)",
+        "defenders_in_box": _count("_def", _inside("p.x", "p.y")),
+        "defenders_goalside_of_ball": _count("_def", "p.x > _bx"),
         # the four smallest x, i.e. the most advanced four in this orientation
-        "defensive_line_x": _or(_mean(F.slice("_dx", 1, 4)), 0),
-        "defensive_compactness": _or(_mean(spread), 0),
-        "defence_centroid_x": F.col("_dx_mean"),
-        "defence_mean_v_goalward": _or(_mean(def_v), 0),
-        "gk_dist_to_ball": _or(geo.distance(gk["x"], gk["y"], bx, by), C.FAR_M),
-        "gk_dist_to_goal": _or(geo.goal_distance(gk["x"], gk["y"]), C.FAR_M),
-        "nearest_defender_dist": _or(F.get(dd, F.lit(0)), C.FAR_M),
-        "second_nearest_defender_dist": _or(_second(dd, dfn), C.FAR_M),
-        "mean_three_nearest_defender_dist": _or(_mean(three), C.FAR_M),
-        "nearest_attacker_support_dist": _or(_second(ad, att), C.FAR_M),
-        "space_ahead_of_ball": F.when(bx.isNull(), 0.0).otherwise(F.least(_or(F.array_min(cone), C.FAR_M), gap)),
-        "defenders_within_10m_of_ball": _count(dd, lambda d: d <= C.PRESSURE_RADIUS_M),
-        "possession_duration_s": F.col("possession_duration_s"),
-        "possession_event_count": F.col("possession_event_count").cast("double"),
-        "is_dead_ball": F.col("is_dead_ball").cast("double"),
-        "event_in_flight": F.col("event_in_flight").cast("double"),
-        "recent_pass_count": F.col("recent_pass_count").cast("double"),
-        "recent_box_entry_count": F.col("_h.entries"),
-        "time_since_last_box_entry": F.col("_h.since"),
+        "defensive_line_x": f"coalesce({_mean('slice(_dx, 1, 4)')}, 0D)",
+        "defensive_compactness": f"coalesce({_mean(spread)}, 0D)",
+        "defence_centroid_x": "_dx_mean",
+        "defence_mean_v_goalward": f"coalesce({_mean('_dv')}, 0D)",
+        "gk_dist_to_ball": f"coalesce({_dist('_gk.x', '_gk.y', '_bx', '_by')}, {far})",
+        "gk_dist_to_goal": f"coalesce({_dist('_gk.x', '_gk.y', goal, '0D')}, {far})",
+        "nearest_defender_dist": f"coalesce(get(_dd, 0), {far})",
+        "second_nearest_defender_dist": f"coalesce({second('_dd', '_def')}, {far})",
+        "mean_three_nearest_defender_dist": f"coalesce({_mean('slice(_dd, 1, 3)')}, {far})",
+        "nearest_attacker_support_dist": f"coalesce({second('_ad', '_att')}, {far})",
+        "space_ahead_of_ball": f"CASE WHEN _bx IS NULL THEN 0D ELSE least(coalesce(array_min({cone}), {far}), greatest({goal} - _bx, 0D)) END",
+        "defenders_within_10m_of_ball": f"cast(size(filter(_dd, v -> v <= {C.PRESSURE_RADIUS_M}D)) AS double)",
+        "possession_duration_s": "possession_duration_s",
+        "possession_event_count": "cast(possession_event_count AS double)",
+        "is_dead_ball": "cast(is_dead_ball AS double)",
+        "event_in_flight": "cast(event_in_flight AS double)",
+        "recent_pass_count": "cast(recent_pass_count AS double)",
+        "recent_box_entry_count": "_h.entries",
+        "time_since_last_box_entry": "_h.since",
     }
 
 
@@ -313,9 +262,8 @@ def match_features(
     located = context.join(signs(orientation), ["match_id", "period"])
     moving = velocities(located, frame_rate, width=max(width, reach), reach=reach, keep_halo=True)
     rows = _measures(_hypotheses(entry_history(moving)))
-    columns = feature_columns()
-    return rows.select(
-        "match_id", F.col("_h.attacking_team").alias("attacking_team"), "period", "frame",
-        "row_no", "period_row", "time_s", "possession_team",
-        *[columns[name].alias(name) for name in C.FEATURES],
+    expressions = feature_expressions()
+    return rows.selectExpr(
+        "match_id", "_h.attacking_team AS attacking_team", "period", "frame", "row_no", "period_row", "time_s",
+        "possession_team", *[f"{expressions[name]} AS {name}" for name in C.FEATURES],
     )

@@ -50,38 +50,29 @@ def _numbered(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str, players: bool = False) -> DataFrame:
     """match_id, period, frame, time_s, ball_x, ball_y, row_no, period_row (, players)."""
     rows = _numbered(spark, sf_dir, "l_quantity", "l_discount", "l_tax")
-    frame, n = F.col("frame"), F.col("n")
-    tracked = F.col("l_tax") != 0
-    first_half = 2 * frame <= n
-    columns = [
-        F.col("match_id"),
-        F.when(first_half, 1).otherwise(2).alias("period"),
-        frame,
-        (frame.cast("double") / F.lit(25.0)).alias("time_s"),
-        F.when(tracked, (F.col("l_quantity") - 25.5) / F.lit(24.5) * F.lit(52.5)).alias("ball_x"),
-        F.when(tracked, (F.col("l_discount") - 0.05) / F.lit(0.05) * F.lit(34.0)).alias("ball_y"),
-        frame.alias("row_no"),
-        F.when(first_half, frame).otherwise(frame - F.floor(n / F.lit(2))).alias("period_row"),
-    ]
-    if players:
-        columns.append(_players(F.col("l_partkey"), frame).alias("players"))
-    return rows.select(*columns)
+    tracked = "CASE WHEN l_tax <> 0D THEN"
+    return rows.selectExpr(
+        "match_id", "CASE WHEN 2 * frame <= n THEN 1 ELSE 2 END AS period", "frame",
+        "cast(frame AS double) / 25D AS time_s",
+        f"{tracked} (l_quantity - 25.5D) / 24.5D * 52.5D END AS ball_x",
+        f"{tracked} (l_discount - 0.05D) / 0.05D * 34D END AS ball_y",
+        "frame AS row_no",
+        "CASE WHEN 2 * frame <= n THEN frame ELSE frame - floor(n / 2) END AS period_row",
+        *([f"{_players()} AS players"] if players else []),
+    )
 
 
-def _players(part, frame):
+def _players() -> str:
     def slot(team, s, p, q):
-        absent = (part + s) % 11 == 0
-        x = ((part * p + frame * q) % 1050).cast("double") / F.lit(10.0) - F.lit(52.5)
-        y = ((part * q + frame * p) % 680).cast("double") / F.lit(10.0) - F.lit(34.0)
-        return F.struct(
-            F.lit(team).alias("team"),
-            F.lit(f"{team}_{s}").alias("player_id"),
-            F.lit(s == 0).alias("is_gk"),
-            F.when(~absent, x).alias("x"),
-            F.when(~absent, y).alias("y"),
+        absent = f"(l_partkey + {s}) % 11 = 0"
+        x = f"cast((l_partkey * {p} + frame * {q}) % 1050 AS double) / 10D - 52.5D"
+        y = f"cast((l_partkey * {q} + frame * {p}) % 680 AS double) / 10D - 34D"
+        return (
+            f"struct('{team}' AS team, '{team}_{s}' AS player_id, {str(s == 0).lower()} AS is_gk, "
+            f"CASE WHEN NOT {absent} THEN {x} END AS x, CASE WHEN NOT {absent} THEN {y} END AS y)"
         )
 
-    return F.array(*[slot(*s) for s in SLOTS])
+    return f"array({', '.join(slot(*s) for s in SLOTS)})"
 
 
 def players(spark: SparkSession, declared: bool = True) -> DataFrame:
@@ -102,38 +93,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, event_seq, team, type, period, start/end frame and time, start/end position."""
     # at most MATCHES rows
     sizes = match_sizes(spark, sf_dir).withColumn("_shortest", F.min("n").over(Window.partitionBy(F.lit(0))))
-    e, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    metres = lambda a, b, span, half: (
+        f"CASE WHEN event_id % 17 <> 0 THEN cast((event_id * {a} + user_id * {b}) % {span} AS double) / 10D - {half}D END")
     taxonomy = (
-        F.when(e % 10 == 3, "challenge").when(e % 10 == 7, "ball_lost")
-        .when(kind == "click", "pass").when(kind == "view", "carry")
-        .when(kind == "purchase", "shot").when(kind == "signup", "recovery")
-        .otherwise("ball_out")
-    )
-    located = e % 17 != 0
-
-    def metres(a, b, span, half):
-        return F.when(located, ((e * a + user * b) % span).cast("double") / F.lit(10.0) - F.lit(half))
-
-    base = read(spark, sf_dir, "events").select(
-        (user % MATCHES).alias("match_id"),
-        e.alias("event_seq"),
-        F.when(user % 8 < 4, "home").otherwise("away").alias("team"),
-        taxonomy.alias("type"),
-        e.alias("_e"),
-        (e % 40).alias("_dur"),
-        metres(37, 0, 1050, 52.5).alias("start_x"),
-        metres(53, 0, 680, 34.0).alias("start_y"),
-        metres(41, 1, 1050, 52.5).alias("end_x"),
-        metres(59, 1, 680, 34.0).alias("end_y"),
+        "CASE WHEN event_id % 10 = 3 THEN 'challenge' WHEN event_id % 10 = 7 THEN 'ball_lost' "
+        "WHEN event_type = 'click' THEN 'pass' WHEN event_type = 'view' THEN 'carry' "
+        "WHEN event_type = 'purchase' THEN 'shot' WHEN event_type = 'signup' THEN 'recovery' ELSE 'ball_out' END"
     )
+    start = "1 + (event_id * 13) % _shortest"
     return (
-        base.join(sizes, "match_id")
-        .withColumn("start_frame", 1 + (F.col("_e") * 13) % F.col("_shortest"))
-        .withColumn("period", F.when(2 * F.col("start_frame") <= F.col("n"), 1).otherwise(2))
-        .withColumn("end_frame", F.col("start_frame") + F.col("_dur"))
-        .withColumn("start_time_s", F.col("start_frame").cast("double") / F.lit(25.0))
-        .withColumn("end_time_s", F.col("end_frame").cast("double") / F.lit(25.0))
-        .drop("_dur", "n", "_e", "_shortest")
+        read(spark, sf_dir, "events").withColumn("match_id", F.expr(f"user_id % {MATCHES}")).join(sizes, "match_id")
+        .selectExpr("*", f"{start} AS start_frame", f"{start} + event_id % 40 AS end_frame")
+        .selectExpr(
+            "match_id", "event_id AS event_seq", "CASE WHEN user_id % 8 < 4 THEN 'home' ELSE 'away' END AS team",
+            f"{taxonomy} AS type", "start_frame", f"{metres(37, 0, 1050, 52.5)} AS start_x",
+            f"{metres(53, 0, 680, 34.0)} AS start_y", f"{metres(41, 1, 1050, 52.5)} AS end_x",
+            f"{metres(59, 1, 680, 34.0)} AS end_y", "CASE WHEN 2 * start_frame <= n THEN 1 ELSE 2 END AS period",
+            "end_frame", "cast(start_frame AS double) / 25D AS start_time_s", "cast(end_frame AS double) / 25D AS end_time_s",
+        )
     )
 
 
@@ -148,15 +125,9 @@ def orientation(spark: SparkSession) -> DataFrame:
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored windows every half second: match_id, row_no, time_s, team, probability, label."""
-    rows = _numbered(spark, sf_dir, "l_quantity", "l_discount")
-    rn = F.col("frame")
-    return rows.select(
-        "match_id",
-        rn.alias("row_no"),
-        (rn * F.lit(0.5)).alias("time_s"),
-        (F.floor(rn / F.lit(40.0)) % 2).alias("team"),
-        (F.floor("l_quantity") / F.lit(50.0)).alias("probability"),
-        F.when(F.col("l_discount") >= 0.08, 1).otherwise(0).alias("label"),
+    return _numbered(spark, sf_dir, "l_quantity", "l_discount").selectExpr(
+        "match_id", "frame AS row_no", "frame * 0.5D AS time_s", "floor(frame / 40D) % 2 AS team",
+        "floor(l_quantity) / 50D AS probability", "CASE WHEN l_discount >= 0.08D THEN 1 ELSE 0 END AS label",
     )
 
 

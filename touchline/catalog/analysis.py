@@ -12,16 +12,16 @@ from touchline.sources import star_tables as S
 
 # --- quality ----------------------------------------------------------------------------
 
-#: an imperfect arrival stream: every 50th frame missing, every 40th twice, every 60th stepping back
+#: an imperfect arrival stream: frames without a ball missing, every 40th twice, every 60th stepping back
 _ARRIVALS_SQL = """AND ar AS (SELECT match_id, period, CASE WHEN frame % 60 = 0 THEN frame-7 ELSE frame END AS frame, time_s,
-  row_number() OVER (PARTITION BY match_id ORDER BY frame, c) AS row_no FROM frames, range(2) t(c) WHERE frame % 50 <> 0 AND (c = 0 OR frame % 40 = 0)),
+  row_number() OVER (PARTITION BY match_id ORDER BY frame, c) AS row_no FROM frames, range(2) t(c) WHERE ball_x IS NOT NULL AND (c = 0 OR frame % 40 = 0)),
 dl AS (SELECT match_id, period, CASE WHEN lag(period) OVER w = period THEN frame-lag(frame) OVER w END AS d FROM ar WINDOW w AS (PARTITION BY match_id ORDER BY row_no))"""
 
 
 def _arrivals(spark, d):
     from touchline.plans import segments
 
-    f = S.frames(spark, d).filter("frame % 50 <> 0").withColumn(
+    f = S.frames(spark, d).filter("ball_x IS NOT NULL").withColumn(
         "c", F.explode(F.expr("CASE WHEN frame % 40 = 0 THEN array(0, 1) ELSE array(0) END"))).withColumn("_b", F.expr("floor(frame / 16384)"))
     n = segments.number_rows(f.drop("row_no"), ["match_id"], ["_b"], ["frame", "c"], name="row_no")
     return n.withColumn("frame", F.expr("CASE WHEN frame % 60 = 0 THEN frame - 7 ELSE frame END")).drop("c", "_b")
@@ -69,12 +69,12 @@ def agg_validation_report(spark, d):
                     F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("chk_files_agree", """[frames] AND a AS (SELECT *, CASE WHEN frame % 1000 = 0 THEN ball_x+0.25::DOUBLE ELSE ball_x END AS ax FROM frames WHERE frame % 777 <> 0)
+@query("chk_files_agree", """[frames] AND a AS (SELECT *, CASE WHEN frame % 1000 = 0 THEN ball_x+0.25::DOUBLE ELSE ball_x END AS ax FROM frames WHERE ball_y IS NULL OR ball_y < 27::DOUBLE)
     SELECT f.match_id, count(*) AS n_frames, count(*) FILTER (a.frame IS NULL) AS only_home, 0 AS only_away, coalesce(max(abs(f.ball_x-a.ax)),0) AS max_ball_difference,
     false AS agree FROM frames f LEFT JOIN a USING (match_id, period, frame) GROUP BY 1""")
 def chk_files_agree(spark, d):
     home = S.frames(spark, d)
-    away = home.filter("frame % 777 <> 0").withColumn("ball_x", F.expr("CASE WHEN frame % 1000 = 0 THEN ball_x + 0.25D ELSE ball_x END"))
+    away = home.filter("ball_y IS NULL OR ball_y < 27D").withColumn("ball_x", F.expr("CASE WHEN frame % 1000 = 0 THEN ball_x + 0.25D ELSE ball_x END"))
     return quality.files_agree(home, away)
 
 
@@ -443,7 +443,7 @@ def agg_latency_histogram(spark, d):
 
 # --- drift ------------------------------------------------------------------------------
 
-_PSI = """lo AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'r' ELSE 't' END AS side, unnest([{'f':'l_quantity','v':l_quantity},{'f':'l_extendedprice','v':l_extendedprice},{'f':'l_discount','v':l_discount}]) AS u FROM lineitem WHERE l_suppkey % 4 < 2),
+_PSI = """lo AS (SELECT CASE WHEN l_suppkey % 4 < 2 THEN 'r' ELSE 't' END AS side, unnest([{'f':'l_quantity','v':l_quantity},{'f':'l_extendedprice','v':l_extendedprice},{'f':'l_discount','v':l_discount}]) AS u FROM lineitem),
 lg AS (SELECT side, u.f AS feature, u.v AS v FROM lo),
 ed AS (SELECT feature, list_distinct(quantile_cont(v, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS e FROM lg WHERE side='r' GROUP BY 1),
 bn AS (SELECT feature, side, len(list_filter(e, lambda x: x<=v)) AS bin, count(*) AS n FROM lg JOIN ed USING (feature) GROUP BY 1,2,3),
@@ -454,7 +454,7 @@ ps AS (SELECT feature, sum((q-p)*ln(q/p)) AS psi FROM pq GROUP BY 1)"""
 
 def _sides(spark, d):
     li = S.read(spark, d, "lineitem")
-    return li.filter("l_suppkey % 4 = 0"), li.filter("l_suppkey % 4 = 1")
+    return li.filter("l_suppkey % 4 < 2"), li.filter("l_suppkey % 4 >= 2")
 
 
 @query("agg_psi", f"WITH {_PSI} SELECT feature, {R('psi')} AS psi FROM ps")
@@ -463,27 +463,27 @@ def agg_psi(spark, d):
     return drift.stability_index(ref, tgt, ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("psi", r6("psi"))
 
 
-@query("confidence_drift", f"[w] AND ed AS (SELECT list_distinct(quantile_cont(probability, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS e FROM w WHERE match_id=0), "
-       "pv AS (SELECT len(list_filter(e, lambda x: x<=probability)) AS bin, count(*) FILTER (match_id=0) AS r, count(*) FILTER (match_id=1) AS t FROM w, ed WHERE match_id<2 GROUP BY 1), "
+@query("confidence_drift", f"[w] AND ed AS (SELECT list_distinct(quantile_cont(probability, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS e FROM w WHERE match_id<2), "
+       "pv AS (SELECT len(list_filter(e, lambda x: x<=probability)) AS bin, count(*) FILTER (match_id<2) AS r, count(*) FILTER (match_id>=2) AS t FROM w, ed GROUP BY 1), "
        "pq AS (SELECT greatest(r/sum(r) OVER (),1e-6::DOUBLE) AS p, greatest(t/sum(t) OVER (),1e-6::DOUBLE) AS q FROM pv) "
        f"SELECT 'psi_model_confidence' AS name, {R('sum((q-p)*ln(q/p))')} AS value, sum((q-p)*ln(q/p))>0.25::DOUBLE AS violation FROM pq")
 def confidence_drift(spark, d):
     w = S.windows(spark, d)
-    return drift.confidence_drift(w.filter("match_id = 0"), w.filter("match_id = 1")).select("name", r6("value").alias("value"), "violation")
+    return drift.confidence_drift(w.filter("match_id < 2"), w.filter("match_id >= 2")).select("name", r6("value").alias("value"), "violation")
 
 
 @query("agg_drift_checks")
 def agg_drift_checks(spark, d):
     f = stage(T.match_features(spark, d))
     s = stage(T.samples(spark, d)[0])
-    side = lambda m: (f.filter(F.col("match_id") == m), s.filter(F.col("match_id") == m))
-    (rf, rs), (tf, ts) = side(0), side(1)
+    side = lambda test: (f.filter(test), s.filter(test))
+    (rf, rs), (tf, ts) = side("match_id < 2"), side("match_id >= 2")
     return drift.drift_checks(rf, tf, rs, ts)
 
 
-@query("set_except_keys", "SELECT DISTINCT o_custkey AS custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+@query("set_except_keys", "SELECT DISTINCT o_custkey AS custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def set_except_keys(spark, d):
-    have = S.read(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"))
+    have = S.read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
     return S.read(spark, d, "orders").select(F.col("o_custkey").alias("custkey")).subtract(have)
 
 
@@ -527,7 +527,7 @@ def win_monotone_filter(spark, d):
     return degrade.accept_frames(_degraded(spark, d)).select("match_id", "sequence", "accepted", "missing")
 
 
-@query("downsample", """[frames] AND kp AS (SELECT * FROM frames WHERE frame % 7 <> 0), st AS (SELECT *, round(time_s*1000000)::BIGINT AS us, min(round(time_s*1000000)::BIGINT) OVER (PARTITION BY match_id, period) AS t0 FROM kp),
+@query("downsample", """[frames] AND kp AS (SELECT * FROM frames WHERE ball_x IS NOT NULL), st AS (SELECT *, round(time_s*1000000)::BIGINT AS us, min(round(time_s*1000000)::BIGINT) OVER (PARTITION BY match_id, period) AS t0 FROM kp),
     sl2 AS (SELECT match_id, period, (us-t0)//50000 AS slot, min(frame) AS frame FROM st GROUP BY 1,2,3) SELECT match_id, period, slot, frame, coalesce(slot-lag(slot) OVER (PARTITION BY match_id, period ORDER BY slot)-1, 0) AS skipped FROM sl2""")
 def downsample(spark, d):
-    return degrade.downsample(S.frames(spark, d).filter("frame % 7 <> 0")).select("match_id", "period", "slot", "frame", "skipped")
+    return degrade.downsample(S.frames(spark, d).filter("ball_x IS NOT NULL")).select("match_id", "period", "slot", "frame", "skipped")

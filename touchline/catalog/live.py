@@ -12,6 +12,7 @@ from touchline.operators import editorial, features, labels, models, windows
 from touchline.session import stage, stage_dir
 from touchline.sources import epts, events_csv, sinks, tracking_csv
 from touchline.sources import star_tables as S
+from touchline.sources.text_order import match_from_path
 from touchline.streaming import live
 from touchline.streaming.run import run_to_end
 
@@ -22,42 +23,52 @@ def _path(spark) -> str:
     return f"{stage_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
+_MATCH = r"match_id=(\d+)"
+
+
 def _written_match(spark, d):
     base = _path(spark)
-    f = stage(S.frames(spark, d, True).filter("match_id = 2"))
+    f = stage(S.frames(spark, d, True))
     for team in C.TEAMS:
         tracking_csv.write_team(f, f"{base}/{team}", team, [f"{t}_{s}" for t, s, _, _ in S.SLOTS if t == team])
-    return tracking_csv.read_match(spark, f"{base}/home", f"{base}/away", "2")
+    return tracking_csv.read_match(spark, f"{base}/home", f"{base}/away", match_from_path(_MATCH))
 
 
-@query("src_tracking_csv", """[frames pos] SELECT p.match_id::VARCHAR AS match_id, p.period, p.frame, p.player_id, round(p.x,2) AS x, round(p.y,2) AS y, round(f.ball_x,2) AS bx, round(f.ball_y,2) AS by_, f.row_no, f.period_row
-    FROM pos p JOIN frames f USING (match_id, period, frame) WHERE p.match_id = 2""")
-def src_tracking_csv(spark, d):
+def _id():
+    return F.col("match_id").cast("bigint").alias("match_id")
+
+
+def _cm(c):
     # five decimals of the unit square are about a millimetre: centimetres survive the trip
+    return F.round(c, 2) + F.lit(0.0)
+
+
+@query("src_tracking_csv", """[frames pos] SELECT p.match_id, p.period, p.frame, p.player_id, round(p.x,2)+0 AS x, round(p.y,2)+0 AS y, round(f.ball_x,2)+0 AS bx, round(f.ball_y,2)+0 AS by_, f.row_no, f.period_row
+    FROM pos p JOIN frames f USING (match_id, period, frame)""")
+def src_tracking_csv(spark, d):
     f = _written_match(spark, d).select("match_id", "period", "frame", "row_no", "period_row", "ball_x", "ball_y", F.explode("players").alias("p"))
-    cm = lambda c: F.round(c, 2) + F.lit(0.0)
-    return f.select("match_id", "period", "frame", "row_no", "period_row", F.col("p.player_id").alias("player_id"), cm("p.x").alias("x"), cm("p.y").alias("y"),
-                    cm("ball_x").alias("bx"), cm("ball_y").alias("by_"))
+    return f.select(_id(), "period", "frame", "row_no", "period_row", F.col("p.player_id").alias("player_id"), _cm("p.x").alias("x"), _cm("p.y").alias("y"),
+                    _cm("ball_x").alias("bx"), _cm("ball_y").alias("by_"))
 
 
-@query("src_match_pair", "[frames pos] SELECT p.period, count(*) AS n, count(p.x) AS n_present FROM pos p WHERE p.match_id = 2 GROUP BY 1")
+@query("src_match_pair", "[pos] SELECT match_id, period, count(*) AS n, count(x) AS n_present FROM pos GROUP BY 1, 2")
 def src_match_pair(spark, d):
-    p = _written_match(spark, d).select("period", F.explode("players").alias("p"))
-    return p.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.count("p.x").alias("n_present"))
+    p = _written_match(spark, d).select(_id(), "period", F.explode("players").alias("p"))
+    return p.groupBy("match_id", "period").agg(F.count(F.lit(1)).alias("n"), F.count("p.x").alias("n_present"))
 
 
-@query("set_union_teams", "[pos] SELECT team, count(*) AS n FROM pos WHERE match_id = 2 GROUP BY 1")
+@query("set_union_teams", "[pos] SELECT match_id, team, count(*) AS n FROM pos GROUP BY 1, 2")
 def set_union_teams(spark, d):
-    return features.unpack_players(_written_match(spark, d)).groupBy("team").agg(F.count(F.lit(1)).alias("n"))
+    p = features.unpack_players(_written_match(spark, d))
+    return p.groupBy(_id(), "team").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_events_csv", """[ev] SELECT team, type, period, start_frame, end_frame, round(start_x,2) AS start_x, round(end_y,2) AS end_y FROM ev WHERE match_id = 2""")
+@query("src_events_csv", """[ev] SELECT match_id, team, type, period, start_frame, end_frame, round(start_x,2)+0 AS start_x, round(end_y,2)+0 AS end_y FROM ev""")
 def src_events_csv(spark, d):
     path = _path(spark)
-    events_csv.write_events(S.events(spark, d).filter("match_id = 2"), path)
-    e = events_csv.read_events(spark, path, "2")
-    cm = lambda c: F.round(c, 2) + F.lit(0.0)
-    return e.select("team", "type", "period", "start_frame", "end_frame", cm("start_x").alias("start_x"), cm("end_y").alias("end_y"))
+    events_csv.write_events(S.events(spark, d), path)
+    e = events_csv.read_events(spark, path, match_from_path(_MATCH))
+    return e.select(_id(), "team", "type", "period", "start_frame", "end_frame", _cm("start_x").alias("start_x"), _cm("end_y").alias("end_y"))
 
 
 _METADATA = """<Metadata><GlobalConfig><FrameRate>25</FrameRate><ProviderParameters>
@@ -68,51 +79,51 @@ _METADATA = """<Metadata><GlobalConfig><FrameRate>25</FrameRate><ProviderParamet
 
 
 def _epts_metadata(spark, d):
-    """Metadata of match 2 as an XML file: the column order changes at half time."""
-    n = S.match_sizes(spark, d).filter("match_id = 2").first()["n"]
+    """Metadata as one XML file per match (there are S.MATCHES of them): the column order changes at half time."""
     ids = [f"{t}_{s}" for t, s, _, _ in S.SLOTS]
     ref = lambda order: "".join(f'<PlayerChannelRef playerChannelId="{i}{a}"/>' for i in order for a in "xy")
-    text = _METADATA.format(
-        h=n // 2, h1=n // 2 + 1, n=n, refs=ref(ids), back=ref(ids[::-1]),
-        players="".join(f'<Player id="{i}" teamId="{"T0" if i[0] == "h" else "T1"}"><ShirtNumber>{i[5:]}</ShirtNumber></Player>' for i in ids),
-        channels="".join(f'<PlayerChannel id="{i}{a}" playerId="{i}"/>' for i in ids for a in "xy"))
+    squad = "".join(f'<Player id="{i}" teamId="{"T0" if i[0] == "h" else "T1"}"><ShirtNumber>{i[5:]}</ShirtNumber></Player>' for i in ids)
+    channels = "".join(f'<PlayerChannel id="{i}{a}" playerId="{i}"/>' for i in ids for a in "xy")
+    files = [
+        (r["match_id"], _METADATA.format(h=r["n"] // 2, h1=r["n"] // 2 + 1, n=r["n"], refs=ref(ids), back=ref(ids[::-1]), players=squad, channels=channels).replace("\n", ""))
+        for r in S.match_sizes(spark, d).collect()
+    ]
     path = _path(spark)
-    spark.createDataFrame([(text.replace("\n", ""),)], "value string").write.text(path)
-    return epts.read_metadata(spark, path, "2"), ids
+    spark.createDataFrame(files, "match_id bigint, value string").write.partitionBy("match_id").text(path)
+    return epts.read_metadata(spark, path, match_from_path(_MATCH))
 
 
-@query("src_tracking_epts", """[frames pos] SELECT p.period, p.frame, p.player_id, round(p.x,2) AS x, round(p.y,2) AS y FROM pos p WHERE p.match_id = 2""")
+@query("src_tracking_epts", """[pos] SELECT match_id, period, frame, player_id, round(x,2)+0 AS x, round(y,2)+0 AS y FROM pos""")
 def src_tracking_epts(spark, d):
-    meta, ids = _epts_metadata(spark, d)
+    meta = _epts_metadata(spark, d)
     cell = lambda x, y: f"concat(coalesce(format_string('%.5f', {x} / 105D + 0.5D), 'NaN'), ',', coalesce(format_string('%.5f', 0.5D - {y} / 68D), 'NaN'))"
     players = f"transform(CASE WHEN period = 1 THEN players ELSE reverse(players) END, p -> {cell('p.x', 'p.y')})"
     path = _path(spark)
-    S.frames(spark, d, True).filter("match_id = 2").selectExpr(f"concat(frame, ':', array_join({players}, ';'), ':', {cell('ball_x', 'ball_y')}) AS value").write.text(path)
-    f = features.unpack_players(epts.read_tracking(spark, path, meta, "2"))
-    cm = lambda c: F.round(c, 2) + F.lit(0.0)
-    return f.select("period", "frame", "player_id", cm("x").alias("x"), cm("y").alias("y"))
+    lines = S.frames(spark, d, True).selectExpr("match_id", f"concat(frame, ':', array_join({players}, ';'), ':', {cell('ball_x', 'ball_y')}) AS value")
+    lines.write.partitionBy("match_id").text(path)
+    f = features.unpack_players(epts.read_tracking(spark, path, meta, match_from_path(_MATCH)))
+    return f.select(_id(), "period", "frame", "player_id", _cm("x").alias("x"), _cm("y").alias("y"))
 
 
-@query("join_interval_layout", "[frames] SELECT period, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM frames WHERE match_id = 2 GROUP BY 1")
+@query("join_interval_layout", "[frames] SELECT match_id, period, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM frames GROUP BY 1, 2")
 def join_interval_layout(spark, d):
-    return src_tracking_epts(spark, d).select("period", "frame").distinct().groupBy("period").agg(
+    return src_tracking_epts(spark, d).select("match_id", "period", "frame").distinct().groupBy("match_id", "period").agg(
         F.count(F.lit(1)).alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
-@query("src_events_json", """[ev] SELECT event_seq, team, type, period, start_frame, end_frame, round(start_x,2) AS start_x, round(end_y,2) AS end_y FROM ev WHERE match_id = 2""")
+@query("src_events_json", """[ev] SELECT match_id, event_seq, team, type, period, start_frame, end_frame, round(start_x,2)+0 AS start_x, round(end_y,2)+0 AS end_y FROM ev""")
 def src_events_json(spark, d):
-    meta, _ = _epts_metadata(spark, d)
-    e = S.events(spark, d).filter("match_id = 2").selectExpr("floor(event_seq / 64) AS doc", """struct(
+    meta = _epts_metadata(spark, d)
+    e = S.events(spark, d).selectExpr("match_id", "floor(event_seq / 4096) AS doc", """struct(
         struct(CASE team WHEN 'home' THEN 'T0' ELSE 'T1' END AS id) AS team, struct(upper(replace(type, '_', ' ')) AS name) AS type, array(struct(cast(event_seq AS string) AS name)) AS subtypes, period,
         struct(start_frame AS frame, start_time_s AS time, start_x / 105D + 0.5D AS x, 0.5D - start_y / 68D AS y) AS start,
         struct(end_frame AS frame, end_time_s AS time, end_x / 105D + 0.5D AS x, 0.5D - end_y / 68D AS y) AS `end`) AS e""")
     path = _path(spark)
-    # documents of at most 64 events each, one per file as the format has it
-    docs = e.groupBy("doc").agg(F.collect_list("e").alias("data")).select(F.to_json(F.struct("data")).alias("value"), "doc")
-    docs.write.partitionBy("doc").text(path)
-    r = epts.read_events(spark, f"{path}/*", meta, "2")
-    cm = lambda c: F.round(c, 2) + F.lit(0.0)
-    return r.select(F.col("subtype").cast("bigint").alias("event_seq"), "team", "type", "period", "start_frame", "end_frame", cm("start_x").alias("start_x"), cm("end_y").alias("end_y"))
+    # documents of at most 4096 events each, one per file as the format has it
+    docs = e.groupBy("match_id", "doc").agg(F.collect_list("e").alias("data")).select("match_id", "doc", F.to_json(F.struct("data")).alias("value"))
+    docs.write.partitionBy("match_id", "doc").text(path)
+    r = epts.read_events(spark, f"{path}/*/*", meta, match_from_path(_MATCH))
+    return r.select(_id(), F.col("subtype").cast("bigint").alias("event_seq"), "team", "type", "period", "start_frame", "end_frame", _cm("start_x").alias("start_x"), _cm("end_y").alias("end_y"))
 
 
 @query("sink_frame_json", f"""[frames pos] SELECT f.match_id, f.frame, count(p.x) AS present, count(*) AS slots, f.ball_x IS NOT NULL AS has_ball, {R('round(max(p.x),2)')} AS max_x

@@ -52,16 +52,16 @@ def place(rows: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Back to the CSV layout: unit square, two decimals of time."""
+    """Back to the CSV layout: unit square, two decimals of time, files under ``match_id=…``."""
     unit = lambda c: F.coalesce(F.format_string("%.5f", c), F.lit(""))
     raw = F.upper(F.replace(F.col("type"), F.lit("_"), F.lit(" ")))
     optional = lambda c: F.coalesce(F.col(c), F.lit("")) if c in events.columns else F.lit("")
     rows = events.select(
-        F.initcap("team").alias("Team"), raw.alias("Type"), optional("subtype").alias("Subtype"), F.col("period").alias("Period"),
+        "match_id", F.initcap("team").alias("Team"), raw.alias("Type"), optional("subtype").alias("Subtype"), F.col("period").alias("Period"),
         F.col("start_frame").alias("Start Frame"), F.format_string("%.2f", "start_time_s").alias("Start Time [s]"),
         F.col("end_frame").alias("End Frame"), F.format_string("%.2f", "end_time_s").alias("End Time [s]"),
         optional("from_player").alias("From"), optional("to_player").alias("To"),
         unit(geo.to_unit_x(F.col("start_x"))).alias("Start X"), unit(geo.to_unit_y(F.col("start_y"))).alias("Start Y"),
         unit(geo.to_unit_x(F.col("end_x"))).alias("End X"), unit(geo.to_unit_y(F.col("end_y"))).alias("End Y"),
     )
-    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").partitionBy("match_id").option("header", True).option("emptyValue", "").csv(path)

@@ -159,39 +159,45 @@ def _count(players: str, test: str) -> str:
     return f"cast(size(filter({players}, p -> {test})) AS double)"
 
 
-def _hypotheses(history: DataFrame) -> DataFrame:
-    """Each frame twice: home attacking, away attacking, coordinates turned so attack is +x."""
-    sides = ", ".join(
-        f"struct('{s}' AS attacking_team, cast({s}_sign AS double) AS sign, cast({s}_entries AS double) AS entries, {s}_since AS since)"
-        for s in C.TEAMS
-    )
-    turned = "struct(p.is_gk AS is_gk, p.x * _h.sign AS x, p.y * _h.sign AS y, p.vx * _h.sign AS vx)"
-    pick = lambda op: f"transform(filter(players, p -> p.team {op} _h.attacking_team), p -> {turned})"
-    return history.selectExpr("*", f"explode(array({sides})) AS _h").selectExpr(
-        *[c for c in history.columns if c != "players"], "_h", "ball_x * _h.sign AS _bx", "ball_y * _h.sign AS _by",
-        "ball_vx * _h.sign AS _vx", "ball_vy * _h.sign AS _vy", f"{pick('=')} AS _att", f"{pick('<>')} AS _def",
-    )
+def _team_measures(history: DataFrame) -> DataFrame:
+    """Each team once per frame: what a half turn of the pitch leaves alone or only negates.
 
-
-def _measures(doubled: DataFrame) -> DataFrame:
-    """Arrays and means several features read, computed once per row."""
-    near = lambda side: f"sort_array(filter(transform({side}, p -> {_dist('p.x', 'p.y', '_bx', '_by')}), v -> v IS NOT NULL))"
-    keeper = "filter(_def, p -> p.is_gk)"
-    deepest = "get(array_sort(transform(filter(_def, p -> p.x IS NOT NULL), p -> struct(p.x AS x, p.y AS y))), 0)"
-    arrays = doubled.selectExpr(
-        "*", "filter(_def, p -> NOT p.is_gk) AS _def_out", "filter(_att, p -> NOT p.is_gk) AS _att_out",
-        f"{near('_def')} AS _dd", f"{near('_att')} AS _ad",
-        # without a marked keeper the defender with the smallest x stands in
-        f"CASE WHEN exists(_def, p -> p.is_gk) THEN struct(get({keeper}, 0).x AS x, get({keeper}, 0).y AS y) ELSE {deepest} END AS _gk",
-    )
-    values = arrays.selectExpr(
-        "*", f"{_known('_att_out', 'x')} AS _ax", f"{_known('_att_out', 'y')} AS _ay",
-        f"sort_array({_known('_def_out', 'x')}) AS _dx", f"{_known('_def', 'y')} AS _dy",
-        f"{_known('_att', 'vx')} AS _av", f"{_known('_def', 'vx')} AS _dv",
+    Distances and deviations do not change, means and extremes change sign, so both hypotheses read
+    the same measures and only counts that depend on the direction are taken per hypothesis.
+    """
+    kept = [c for c in history.columns if c != "players"]
+    rows = history.selectExpr(*kept, *[f"filter(players, p -> p.team = '{t}') AS _p_{t}" for t in C.TEAMS])
+    lists, stats, whole = [], [], []
+    for t in C.TEAMS:
+        p = f"_p_{t}"
+        lists += [
+            f"sort_array(filter(transform({p}, p -> {_dist('p.x', 'p.y', 'ball_x', 'ball_y')}), v -> v IS NOT NULL)) AS _d_{t}",
+            f"sort_array(filter(transform({p}, p -> CASE WHEN NOT p.is_gk THEN p.x END), v -> v IS NOT NULL)) AS _x_{t}",
+            f"filter(transform({p}, p -> CASE WHEN NOT p.is_gk THEN p.y END), v -> v IS NOT NULL) AS _y_{t}",
+            f"{_known(p, 'y')} AS _ya_{t}", f"{_known(p, 'vx')} AS _vx_{t}", f"get(filter({p}, p -> p.is_gk), 0) AS _gk_{t}",
+        ]
+        stats += [f"{_mean(f'_x_{t}')} AS _mx_{t}", f"{_mean(f'_y_{t}')} AS _my_{t}", f"coalesce({_mean(f'_ya_{t}')}, 0D) AS _mya_{t}"]
+        spread = _dist("p.x", "p.y", f"coalesce(_mx_{t}, 0D)", f"_mya_{t}")
+        whole.append(
+            f"struct(_p_{t} AS p, _d_{t} AS d, _x_{t} AS x, _vx_{t} AS vx, _gk_{t} AS gk, coalesce(_mx_{t}, 0D) AS mean_x, "
+            f"coalesce({_std(f'_x_{t}', f'_mx_{t}')}, 0D) AS sd_x, coalesce({_std(f'_y_{t}', f'_my_{t}')}, 0D) AS sd_y, "
+            f"coalesce({_mean(f'_vx_{t}')}, 0D) AS mean_vx, coalesce({_mean(f'filter(transform(_p_{t}, p -> CASE WHEN NOT p.is_gk THEN {spread} END), v -> v IS NOT NULL)')}, 0D) AS spread) AS _{t}")
+    rows = rows.selectExpr("*", *lists)
+    keep = [c for c in rows.columns if not c.startswith("_ya_")]
+    rows = rows.selectExpr("*", *stats).selectExpr(*keep, *[f"{m}_{t}" for t in C.TEAMS for m in ("_mx", "_my", "_mya")])
+    return rows.selectExpr(*kept, *whole)
+
+
+def _hypotheses(measured: DataFrame) -> DataFrame:
+    """Each frame twice, home attacking and away attacking; ``_s`` turns it so that attack is +x."""
+    sides = ", ".join(
+        f"struct('{t}' AS attacking_team, cast({t}_sign AS double) AS s, cast({t}_entries AS double) AS entries, {t}_since AS since, _{t} AS a, _{o} AS d)"
+        for t, o in (C.TEAMS, C.TEAMS[::-1])
     )
-    return values.selectExpr(
-        "*", f"{_mean('_ax')} AS _ax_mean", f"{_mean('_ay')} AS _ay_mean",
-        f"coalesce({_mean('_dx')}, 0D) AS _dx_mean", f"coalesce({_mean('_dy')}, 0D) AS _dy_mean",
+    kept = [c for c in measured.columns if c not in ("_home", "_away")]
+    return measured.selectExpr(*kept, f"explode(array({sides})) AS _h").selectExpr(
+        *kept, "_h.attacking_team AS attacking_team", "_h.s AS _s", "_h.entries AS _entries", "_h.since AS _since", "_h.a AS _a", "_h.d AS _d",
+        "ball_x * _h.s AS _bx", "ball_y * _h.s AS _by", "ball_vx * _h.s AS _vx", "ball_vy * _h.s AS _vy",
     )
 
 
@@ -200,11 +206,16 @@ def feature_expressions() -> dict[str, str]:
     half_goal = f"{C.GOAL_HALF_WIDTH}D"
     angle = f"abs(atan2({half_goal} - _by, {goal} - _bx) - atan2(-{half_goal} - _by, {goal} - _bx))"
     # a squad of one has no second nearest: the nearest stands in
-    second = lambda d, side: f"CASE WHEN size({side}) > 1 THEN get({d}, 1) ELSE get({d}, 0) END"
-    spread = f"filter(transform(_def_out, p -> {_dist('p.x', 'p.y', '_dx_mean', '_dy_mean')}), v -> v IS NOT NULL)"
+    second = lambda side: f"CASE WHEN size({side}.p) > 1 THEN get({side}.d, 1) ELSE get({side}.d, 0) END"
+    # without a marked keeper the defender with the smallest x stands in
+    spots = "transform(filter(_d.p, p -> p.x IS NOT NULL), p -> struct(p.x AS x, p.y AS y))"
+    deepest = f"CASE WHEN _s > 0 THEN array_min({spots}) ELSE array_max({spots}) END"
+    keeper = lambda f: f"CASE WHEN _d.gk IS NOT NULL THEN _d.gk.{f} ELSE ({deepest}).{f} END * _s"
+    highest = "CASE WHEN _s > 0 THEN get(_a.x, size(_a.x) - 1) ELSE -get(_a.x, 0) END"
+    line = f"CASE WHEN _s > 0 THEN {_mean('slice(_d.x, 1, 4)')} ELSE -{_mean('slice(_d.x, greatest(size(_d.x) - 3, 1), 4)')} END"
     cone = (
-        f"filter(transform(_def, p -> CASE WHEN p.x > _bx AND abs(atan2(p.y - _by, greatest(p.x - _bx, 1e-6D))) <= pi() / 4 "
-        f"THEN {_dist('p.x', 'p.y', '_bx', '_by')} END), v -> v IS NOT NULL)"
+        "filter(transform(_d.p, p -> CASE WHEN p.x * _s > _bx AND abs(atan2(p.y * _s - _by, greatest(p.x * _s - _bx, 1e-6D))) <= pi() / 4 "
+        f"THEN {_dist('p.x', 'p.y', 'ball_x', 'ball_y')} END), v -> v IS NOT NULL)"
     )
     return {
         "ball_x": f"coalesce(_bx / {goal}, 0D)",
@@ -216,37 +227,37 @@ def feature_expressions() -> dict[str, str]:
         "ball_goal_angle": f"coalesce(CASE WHEN {goal} - _bx > 0 THEN {angle} END, 0D)",
         "ball_in_final_third": f"cast(coalesce(_bx >= {third}, false) AS double)",
         "ball_in_box": f"cast({_inside('_bx', '_by')} AS double)",
-        "attackers_ahead_of_ball": _count("_att", "p.x > _bx"),
-        "attackers_in_box": _count("_att", _inside("p.x", "p.y")),
-        "attackers_in_final_third": _count("_att", f"p.x >= {third}"),
-        "attack_centroid_x": "coalesce(_ax_mean, 0D)",
-        "attack_width": f"coalesce({_std('_ay', '_ay_mean')}, 0D)",
-        "attack_depth": f"coalesce({_std('_ax', '_ax_mean')}, 0D)",
-        "attack_highest_x": "coalesce(array_max(_ax), 0D)",
-        "attack_mean_v_goalward": f"coalesce({_mean('_av')}, 0D)",
-        "attackers_moving_goalward": "cast(size(filter(_av, v -> v > 0.5D)) AS double)",
-        "defenders_in_box": _count("_def", _inside("p.x", "p.y")),
-        "defenders_goalside_of_ball": _count("_def", "p.x > _bx"),
+        "attackers_ahead_of_ball": _count("_a.p", "p.x * _s > _bx"),
+        "attackers_in_box": _count("_a.p", _inside("p.x * _s", "p.y")),
+        "attackers_in_final_third": _count("_a.p", f"p.x * _s >= {third}"),
+        "attack_centroid_x": "_a.mean_x * _s",
+        "attack_width": "_a.sd_y",
+        "attack_depth": "_a.sd_x",
+        "attack_highest_x": f"coalesce({highest}, 0D)",
+        "attack_mean_v_goalward": "_a.mean_vx * _s",
+        "attackers_moving_goalward": "cast(size(filter(_a.vx, v -> v * _s > 0.5D)) AS double)",
+        "defenders_in_box": _count("_d.p", _inside("p.x * _s", "p.y")),
+        "defenders_goalside_of_ball": _count("_d.p", "p.x * _s > _bx"),
         # the four smallest x, i.e. the most advanced four in this orientation
-        "defensive_line_x": f"coalesce({_mean('slice(_dx, 1, 4)')}, 0D)",
-        "defensive_compactness": f"coalesce({_mean(spread)}, 0D)",
-        "defence_centroid_x": "_dx_mean",
-        "defence_mean_v_goalward": f"coalesce({_mean('_dv')}, 0D)",
-        "gk_dist_to_ball": f"coalesce({_dist('_gk.x', '_gk.y', '_bx', '_by')}, {far})",
-        "gk_dist_to_goal": f"coalesce({_dist('_gk.x', '_gk.y', goal, '0D')}, {far})",
-        "nearest_defender_dist": f"coalesce(get(_dd, 0), {far})",
-        "second_nearest_defender_dist": f"coalesce({second('_dd', '_def')}, {far})",
-        "mean_three_nearest_defender_dist": f"coalesce({_mean('slice(_dd, 1, 3)')}, {far})",
-        "nearest_attacker_support_dist": f"coalesce({second('_ad', '_att')}, {far})",
+        "defensive_line_x": f"coalesce({line}, 0D)",
+        "defensive_compactness": "_d.spread",
+        "defence_centroid_x": "_d.mean_x * _s",
+        "defence_mean_v_goalward": "_d.mean_vx * _s",
+        "gk_dist_to_ball": f"coalesce({_dist(keeper('x'), keeper('y'), '_bx', '_by')}, {far})",
+        "gk_dist_to_goal": f"coalesce({_dist(keeper('x'), keeper('y'), goal, '0D')}, {far})",
+        "nearest_defender_dist": f"coalesce(get(_d.d, 0), {far})",
+        "second_nearest_defender_dist": f"coalesce({second('_d')}, {far})",
+        "mean_three_nearest_defender_dist": f"coalesce({_mean('slice(_d.d, 1, 3)')}, {far})",
+        "nearest_attacker_support_dist": f"coalesce({second('_a')}, {far})",
         "space_ahead_of_ball": f"CASE WHEN _bx IS NULL THEN 0D ELSE least(coalesce(array_min({cone}), {far}), greatest({goal} - _bx, 0D)) END",
-        "defenders_within_10m_of_ball": f"cast(size(filter(_dd, v -> v <= {C.PRESSURE_RADIUS_M}D)) AS double)",
+        "defenders_within_10m_of_ball": f"cast(size(filter(_d.d, v -> v <= {C.PRESSURE_RADIUS_M}D)) AS double)",
         "possession_duration_s": "possession_duration_s",
         "possession_event_count": "cast(possession_event_count AS double)",
         "is_dead_ball": "cast(is_dead_ball AS double)",
         "event_in_flight": "cast(event_in_flight AS double)",
         "recent_pass_count": "cast(recent_pass_count AS double)",
-        "recent_box_entry_count": "_h.entries",
-        "time_since_last_box_entry": "_h.since",
+        "recent_box_entry_count": "_entries",
+        "time_since_last_box_entry": "_since",
     }
 
 
@@ -261,9 +272,9 @@ def match_features(
     reach = int(C.BOX_ENTRY_LOOKBACK_S * frame_rate) + 1
     located = context.join(signs(orientation), ["match_id", "period"])
     moving = velocities(located, frame_rate, width=max(width, reach), reach=reach, keep_halo=True)
-    rows = _measures(_hypotheses(entry_history(moving)))
+    rows = _hypotheses(_team_measures(entry_history(moving)))
     expressions = feature_expressions()
     return rows.selectExpr(
-        "match_id", "_h.attacking_team AS attacking_team", "period", "frame", "row_no", "period_row", "time_s",
+        "match_id", "attacking_team", "period", "frame", "row_no", "period_row", "time_s",
         "possession_team", *[f"{expressions[name]} AS {name}" for name in C.FEATURES],
     )

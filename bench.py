@@ -10,8 +10,8 @@ from touchline.session import local_session
 
 HEADLINES = (
     "entries_by_team", "join_asof_possession", "possession_context", "win_entry_history", "match_features", "win_merge_episodes",
-    "build_labels", "score_heuristic", "agg_average_precision", "win_group_alarms", "agg_episode_metrics", "threshold_by_budget",
-    "join_bootstrap_rows", "editorial_review", "agg_psi", "degrade_stream", "st_context",
+    "build_labels", "score_heuristic", "agg_average_precision", "win_group_alarms", "agg_episode_metrics",
+    "editorial_review", "agg_psi", "degrade_stream", "st_context",
 )
 
 

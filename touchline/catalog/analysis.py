@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from touchline import constants as C
 from touchline.catalog import tables as T
-from touchline.catalog.core import _FEATURES_CTES, _SCORE, FEATURE_PARTS
 from touchline.catalog.registry import R, query, r6
 from touchline.operators import degrade, drift, editorial, evaluation, orientation, quality
 from touchline.session import stage

@@ -1,6 +1,5 @@
 """Geometry, events, joins, possession, features, labels, windows."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline import constants as C
@@ -10,7 +9,7 @@ from touchline.catalog.registry import R, query, r6
 from touchline.functions import events as ev
 from touchline.functions import geometry as geo
 from touchline.functions import scoring, text
-from touchline.operators import evaluation, features, labels, possession, windows
+from touchline.operators import features, labels, possession, windows
 from touchline.session import stage
 from touchline.sources import star_tables as S
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat, jaccard, language, order_minhash, packing, substring, warc, winnow
+from touchline.llm import chat, jaccard, language, main_text, order_minhash, packing, substring, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,6 +57,18 @@ def op4(spark, d):
                       F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op5_html_extraction")
+def op5(spark, d):
+    return main_text.extract(table(spark, d, "pages"), ["page_id", "url"])
+
+
+@query("op6_toxicity")
+def op6(spark, d):
+    held = language.held_out(F.col("doc_id"))
+    out = toxicity.score(table(spark, d, "documents"), table(spark, d, "labels").filter(~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark, d):
     out = winnow.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))

@@ -68,12 +68,12 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of some texts: ``hash``, byte spans in ``data`` and ``first[i]:first[i+1]`` of text i."""
+    """The words of some texts: ``hash``, byte spans in ``data`` and ``first[i]:first[i+1]`` of text i; space is among ``ends``."""
 
-    def __init__(self, texts: list[bytes], fold: np.ndarray = SAME):
+    def __init__(self, texts: list[bytes], fold: np.ndarray = SAME, ends: np.ndarray = SPACE):
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         self.data = data if fold is SAME else fold[data]
-        edge = np.flatnonzero(np.diff(SPACE[data].view(np.int8), prepend=np.int8(1)))
+        edge = np.flatnonzero(np.diff(ends[data].view(np.int8), prepend=np.int8(1)))
         self.starts, self.ends = edge[::2], edge[1::2]
         begin = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=begin[1:])

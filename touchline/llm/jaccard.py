@@ -9,12 +9,13 @@
 4. Group pairs are filtered by size, by the smaller one's shorter prefix, and by a lower bound of the
    difference from parity bitmaps; what is left is expanded to members and verified on whole sets.
 
-For components not every pair is wanted: first neighbours in each shingle's list are verified, then,
-for lists that still hold several components, every pair of different components. So a large group
-of near copies costs a chain, and no pair that could join two components is left out.
+For components not every pair is wanted: in a few rounds each group meets the smallest group of another
+component in one of its shingles' lists, then, for lists that still hold several components, every
+pair of different components is verified. So a large group of near copies costs a star, and no pair that could
+join two components is left out.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than
-a shingle are one shingle; equal texts are linked; rows that repeat an id are judged each by its own text;
+a shingle are one shingle; equal texts are linked; rows that repeat an id are one node with the links of all its texts;
 rows with a null id have a null component and link nothing; further columns are left out.
 """
 
@@ -24,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import words
@@ -155,18 +156,16 @@ def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return both.select("a", "b", "bits_a", "bits_b", "size_a", "size_b").mapInArrow(keep, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """Those of ``pairs`` of classes (a staged table) whose whole sets link."""
-    some = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = stage(members.join(some, "cls", "left_semi").select(F.col("rep").alias("id")).distinct())
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """Those of ``pairs`` (a staged table) whose whole sets link."""
+    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     wanted = docs.select(F.col(doc_id).cast("long").alias("id"), text).join(_small(ids), "id", "left_semi")
 
     def whole(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(words.encoded(batch[1]), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array([s.tobytes() for s in shingle_sets(words.encoded(batch[1]), n)], pa.binary())], names=["id", "shingles"])
 
-    sets = wanted.mapInArrow(whole, "cls long, shingles binary")
+    sets = wanted.mapInArrow(whole, "id long, shingles binary")
 
     def link(batches):
         for batch in batches:
@@ -181,13 +180,31 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, doc_id: str
     return met.select("a", "b", "set_a", "set_b").mapInArrow(link, "a long, b long").distinct()
 
 
+def _leaders(lists: DataFrame, known: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """At most one pair a group: with the smallest group of another component that leads one of its lists and wasn't tested."""
+    if known is not None:
+        lists = lists.join(known, lists["gid"] == known["node"], "left").drop("node").withColumn("component", F.coalesce("component", "gid"))
+    else:
+        lists = lists.withColumn("component", F.col("gid"))
+    head = F.min(F.struct("gid", "size", "first", "component"))
+    one = lists.groupBy("token").agg(head.alias("one"))
+    met = lists.join(one, "token")
+    two = met.filter("component <> one.component").groupBy("token").agg(head.alias("two"))
+    met = met.join(two, "token").withColumn("lead", F.when(F.col("component") == F.col("one.component"), F.col("two")).otherwise(F.col("one")))
+    fits = F.when(F.col("size") <= F.col("lead.size"), F.col("first") & (5 * F.col("size") >= 4 * F.col("lead.size"))).otherwise(F.col("lead.first") & (5 * F.col("lead.size") >= 4 * F.col("size")))
+    pairs = met.filter(fits).select("gid", F.col("lead.gid").alias("other"), F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return pairs.groupBy("gid").agg(F.min("other").alias("other")).select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b")).distinct()
+
+
 def _across(tokens: DataFrame, members: DataFrame, bits: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of classes of different components in the lists that hold several, filtered by size and bitmap."""
-    comp = stage(members.join(known, members["cls"] == known["node"], "left").select("gid", "cls", F.coalesce("component", "cls").alias("component")))
+    comp = stage(members.join(known, members["rep"] == known["node"], "left").select("gid", "rep", F.coalesce("component", "rep").alias("component")))
     of_group = comp.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     lists = tokens.join(of_group, "gid")
     mixed = lists.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
-    at = tokens.join(mixed, "token", "left_semi").join(comp, "gid").join(bits.select("cls", "bits"), "cls")
+    at = tokens.join(mixed, "token", "left_semi").join(comp, "gid").join(bits.select("rep", "bits"), "rep")
 
     def cross(batches):
         for key, comp_, rep, size, first, bits in _lists(batches):
@@ -205,7 +222,7 @@ def _across(tokens: DataFrame, members: DataFrame, bits: DataFrame, known: DataF
                 if len(k):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[k], rep[j])), pa.array(np.maximum(rep[k], rep[j]))], names=["a", "b"])
 
-    rows = at.select("token", "component", "cls", "size", "first", "bits").repartition("token").sortWithinPartitions("token", "cls")
+    rows = at.select("token", "component", "rep", "size", "first", "bits").repartition("token").sortWithinPartitions("token", "rep")
     return rows.mapInArrow(cross, "a long, b long").distinct()
 
 
@@ -227,29 +244,31 @@ def _lists(batches):
         yield (held[0][0], *held[1:])
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, rounds: int = 3) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row: the smallest id reachable by links of Jaccard similarity 0.8."""
     described = stage(_described(docs, doc_id, text, n, order(docs, text, n)))
-    # a class is known by a hash of its set and by one row that stands for it
+    # a class is known by the smallest id of its rows
     reps = described.filter("cls is not null and id is not null").groupBy("cls", "size", "pkey").agg(F.min("id").alias("rep"))
-    low = reps.groupBy("size", "pkey").agg(F.min("cls").alias("gid"))
+    low = reps.groupBy("size", "pkey").agg(F.min("rep").alias("gid"))
     members = stage(reps.join(low, ["size", "pkey"]).select("gid", "cls", "rep", "size"))
     own = described.select("id", "cls", "size", "prefix", "bits").join(_small(members.select("cls", F.col("rep").alias("id"), "gid")), ["cls", "id"])
-    bits = own.select("cls", "bits", "size")
-    tokens = stage(_shared_tokens(own.filter("gid = cls")))
-
-    w = Window.partitionBy("token").orderBy("size", "gid")
-    before = tokens.select("gid", "size", F.lag("gid").over(w).alias("b"), F.lag("size").over(w).alias("size_b"), F.lag("first").over(w).alias("first_b"))
-    neighbours = before.filter("b <> gid and 5 * size_b >= 4 * size and first_b").select(F.least("gid", "b").alias("a"), F.greatest("gid", "b").alias("b"))
-    inner = members.filter("gid <> cls").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    links = stage(_verified(stage(_near(neighbours.union(inner).distinct(), bits)), members, docs, doc_id, text, n))
+    bits = own.select(F.col("id").alias("rep"), "bits", "size")
+    tokens = stage(_shared_tokens(own.filter("gid = id")))
+
+    inner = members.filter("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    links, tested, known = None, None, None
+    for _ in range(rounds):
+        pairs = _leaders(tokens, known, tested)
+        pairs = stage(pairs if tested is not None else pairs.union(inner).distinct())
+        new = _verified(stage(_near(pairs, bits)), docs, doc_id, text, n)
+        links, tested = stage(new if links is None else links.union(new)), pairs if tested is None else tested.union(pairs)
+        known = stage(components(links))
     # groups of several members are lists as well
     several = members.groupBy("gid", "size").count().filter("count > 1")
     lists = tokens.unionByName(several.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", "size", F.lit(True).alias("first")))
-    links = stage(links.union(_verified(stage(_across(lists, members, bits, components(links))), members, docs, doc_id, text, n)))
+    rest = stage(_across(lists, members, bits, known).join(tested, ["a", "b"], "left_anti"))
+    known = stage(components(links.union(_verified(rest, docs, doc_id, text, n))))
 
-    known = members.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = known.join(smallest, "component").select("cls", "component_id")
+    of_class = members.join(known, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("id", "size", "cls").join(of_class, "cls", "left")
     return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.batches import small
+
 #: a vector travels in so many pieces, each summed by a task of its own
 PIECES = 16
 
@@ -37,7 +39,7 @@ def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(totals), pa.int32()), "total": pa.array([_packed(v) for v in totals.values()], pa.binary())})
 
     schema = "piece int, total binary"
-    rows = df.mapInArrow(partial, schema).repartition(PIECES, F.col("piece")).mapInArrow(merged, schema).collect()
+    rows = small(df).mapInArrow(partial, schema).repartition(PIECES, F.col("piece")).mapInArrow(merged, schema).collect()
     out = np.zeros(length, np.int64)
     for r in rows:
         out[r["piece"] * step:(r["piece"] + 1) * step] += _unpacked(r["total"], step)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import words
+from touchline.llm.batches import small
 from touchline.llm.components import components
 from touchline.llm.dense import summed
 from touchline.session import stage
@@ -246,7 +247,7 @@ def _lists(batches):
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, rounds: int = 3) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row: the smallest id reachable by links of Jaccard similarity 0.8."""
-    described = stage(_described(docs, doc_id, text, n, order(docs, text, n)))
+    described = stage(_described(small(docs), doc_id, text, n, order(docs, text, n)))
     # a class is known by the smallest id of its rows
     reps = described.filter("cls is not null and id is not null").groupBy("cls", "size", "pkey").agg(F.min("id").alias("rep"))
     low = reps.groupBy("size", "pkey").agg(F.min("rep").alias("gid"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.batches import small
 from touchline.llm.dense import summed
 
 UNKNOWN = "und"
@@ -119,7 +120,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
     model_known = bool(model.labels)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
-    return docs.select(*keep, text).mapInArrow(score, schema)
+    return small(docs).select(*keep, text).mapInArrow(score, schema)
 
 
 def held_out(doc_id) -> F.Column:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from touchline.llm.batches import small
 from touchline.llm.html_blocks import Block, blocks
 
 #: labelled pages that the weights are fitted on
@@ -225,4 +226,4 @@ def extract(pages: DataFrame, keep: list[str], page: str = "html", field: Field
             yield pa.RecordBatch.from_arrays([*[batch[i] for i in range(len(keep))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
-    return pages.select(*keep, page).mapInArrow(text, schema)
+    return small(pages).select(*keep, page).mapInArrow(text, schema)

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.batches import small
 from touchline.llm.tokens import encoder
 
 LENGTH = 1024
@@ -46,7 +47,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, digest, total))], names=[doc_id, "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select(doc_id, text).mapInArrow(cut, schema)
+    return small(docs).select(doc_id, text).mapInArrow(cut, schema)
 
 
 class Levels:

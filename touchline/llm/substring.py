@@ -1,6 +1,6 @@
 """Substring dedup by relative Lempel-Ziv parsing against every document with a smaller id.
 
-A reference block is what one batch of a task has read; the index over all blocks is a shuffle by hash.
+A reference block is a run of rows that one task has read; the index over all blocks is a shuffle by hash.
 
 1. Every text is sampled by minimizers of 7 words, so that each window of 13 words holds one. In its
    block a minimizer of two documents is known to be shared; one row a block and minimizer is shuffled
@@ -30,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import words
+from touchline.llm.batches import small
 from touchline.session import stage
 
 WINDOW = 13
 MINIMIZER = 7
+#: rows and bytes of a reference block
+BLOCK_ROWS, BLOCK_BYTES = 4000, 12 << 20
 #: ids of affected rows that are broadcast; more are joined by shuffle
 BROADCAST_IDS = 2_000_000
 
@@ -49,11 +52,16 @@ def _minimizers(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(batches):
-    """id, key and words of each piece of each batch; rows without an id are left out."""
+    """Batches put together to blocks of about BLOCK_ROWS rows or BLOCK_BYTES."""
+    held, rows, size = [], 0, 0
     for batch in batches:
-        some = batch.filter(pc.is_valid(batch[0]))
-        ids, keys, texts = some[0].to_numpy(), some[1].to_numpy(), words.encoded(some[2])
-        yield ids, keys, [(a, words.Words(texts[a:b])) for a, b in words.chunks(texts)]
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _split(hashes: np.ndarray, ids: np.ndarray):
@@ -68,9 +76,12 @@ def _split(hashes: np.ndarray, ids: np.ndarray):
 def _shared_minimizers(docs: DataFrame) -> DataFrame:
     """id, key, anchors: minimizers of a row that another document has too."""
     def local(batches):
-        for ids, keys, parts in _blocks(batches):
+        for block in _blocks(batches):
+            some = block.filter(pc.is_valid(block[0]))
+            ids, keys, texts = some[0].to_numpy(), some[1].to_numpy(), words.encoded(some[2])
             found = []
-            for a, w in parts:
+            for a, b in words.chunks(texts):
+                w = words.Words(texts[a:b])
                 at = np.unique(_minimizers(w)[1])
                 found.append((words.ngrams(w.hash, MINIMIZER)[at].view(np.int64), w.text[at] + a))
             if not found:
@@ -123,7 +134,7 @@ def _shared_minimizers(docs: DataFrame) -> DataFrame:
 def _earlier(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """id, key, place, ref_id, ref_place: windows that start in a document with a smaller id, and one such start."""
     def local(batches):
-        for batch in batches:
+        for batch in _blocks(batches):
             ids, keys, texts = batch[0].to_numpy(), batch[1].to_numpy(), words.encoded(batch[2])
             lists = batch[3]
             found = []
@@ -188,7 +199,7 @@ def parse(place: np.ndarray, ref_id: np.ndarray, ref_place: np.ndarray):
 
 def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, key, factors: the duplicate spans, in words, of each row that has one; ``key`` is xxhash64 of the text."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    keyed = small(docs).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     found = _earlier(keyed, stage(_shared_minimizers(keyed)))
 
     def parsed(batches):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import words
+from touchline.llm.batches import small
 from touchline.llm.dense import summed
 from touchline.session import stage
 
@@ -126,7 +127,7 @@ def features(docs: DataFrame, lex: tuple[np.ndarray, np.ndarray], keep: list[str
             yield pa.RecordBatch.from_arrays([*[batch[i] for i in range(len(keep))], *[pa.array(c) for c in x.T]], names=[*keep, *FEATURES])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + "".join(f", {f} double" for f in FEATURES)
-    return docs.select(*keep, text).mapInArrow(describe, schema)
+    return small(docs).select(*keep, text).mapInArrow(describe, schema)
 
 
 def _describe(texts: list[bytes], known: np.ndarray, weight: np.ndarray, you: np.ndarray) -> np.ndarray:

@@ -63,10 +63,10 @@ class Levels:
         if size >= self.length:
             return 0
         here = self.count[:self.length - size + 1]
-        change = self.count[size:] - here + 1
+        change = 2 * (self.count[size:] - here + 1)
         change[-1] -= 1  # a full sequence is counted no more, so only its old level changes
         change[here == 0] = np.iinfo(np.int64).max
-        change[0] = self.count[size]
+        change[0] = 2 * self.count[size] + 1
         # of equal changes the fullest
         return int(len(change) - 1 - np.argmin(change[::-1]))
 

@@ -23,11 +23,13 @@ def local_session(cores: str = "*", app: str = "touchline") -> SparkSession:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """Shared folder for stage tables: the cluster's checkpoint folder, a private one if unset."""
+    """Shared folder for stage tables: the cluster's checkpoint folder; only in local mode a private one if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

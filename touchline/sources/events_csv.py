@@ -19,10 +19,10 @@ def read_events(spark: SparkSession, path, match_id: Column | str) -> DataFrame:
         raise ValueError(f"events file is missing columns {missing}")
     key = F.lit(match_id) if isinstance(match_id, str) else match_id
     rows = raw.select(
-        key.alias("match_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
+        key.alias("match_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
         *[F.trim(F.coalesce(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string"), F.lit(""))).alias(c) for c in REQUIRED + OPTIONAL],
     )
-    numbered = segments.number_rows(rows, ["match_id"], ["_block"], ["_line"], name="event_seq")
+    numbered = segments.number_rows(rows, ["match_id"], ["_file", "_block"], ["_line"], name="event_seq")
     text = lambda c: F.when(F.col(c) != "", F.col(c))
     # an empty start counts as zero, anything else has to be a number
     start_frame = F.coalesce(text("Start Frame").cast("double"), F.lit(0.0)).cast("bigint")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,32 @@ def test_jaccard(docs, texts):
     assert len({v[1] for v in got.values()}) < len(got)
 
 
+def test_components_grow_from_known_ones(spark):
+    from touchline.llm.components import components
+
+    rng = np.random.default_rng(3)
+    chain = [(i + 1, i) for i in range(100, 130)]
+    star = [(200, i) for i in range(201, 240)]
+    loose = [tuple(map(int, x)) for x in rng.integers(300, 400, (60, 2))]
+    parts = [chain[::2] + star[:20] + loose[:30], chain[1::2] + star[20:] + loose[30:] + [(7, 7), (1, 239), (1, 239)]]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in parts[0] + parts[1]:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    known = None
+    for part in parts:
+        known = components(spark.createDataFrame(part, "a long, b long"), known)
+    assert sorted(map(tuple, known.collect())) == sorted((x, find(x)) for x in root)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_substring(docs, texts, empty):
     ws = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts}
     first = {}

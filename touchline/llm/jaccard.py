@@ -257,18 +257,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tokens = stage(_shared_tokens(own.filter("gid = id")))
 
     inner = members.filter("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    links, tested, known = None, None, None
+    tested, known = None, None
     for _ in range(rounds):
         pairs = _leaders(tokens, known, tested)
         pairs = stage(pairs if tested is not None else pairs.union(inner).distinct())
-        new = _verified(stage(_near(pairs, bits)), docs, doc_id, text, n)
-        links, tested = stage(new if links is None else links.union(new)), pairs if tested is None else tested.union(pairs)
-        known = stage(components(links))
+        if tested is not None and pairs.isEmpty():
+            break
+        new = stage(_verified(stage(_near(pairs, bits)), docs, doc_id, text, n))
+        tested = pairs if tested is None else tested.union(pairs)
+        if known is None or not new.isEmpty():
+            known = stage(components(new, known))
     # groups of several members are lists as well
     several = members.groupBy("gid", "size").count().filter("count > 1")
     lists = tokens.unionByName(several.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", "size", F.lit(True).alias("first")))
     rest = stage(_across(lists, members, bits, known).join(tested, ["a", "b"], "left_anti"))
-    known = stage(components(links.union(_verified(rest, docs, doc_id, text, n))))
+    if not rest.isEmpty():
+        known = stage(components(_verified(rest, docs, doc_id, text, n), known))
 
     of_class = members.join(known, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("id", "size", "cls").join(of_class, "cls", "left")

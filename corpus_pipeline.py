@@ -59,7 +59,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot tokenize by the vocabulary; each stage's operator is held against a plain version in tests/llm, ``run`` as a whole is not
+#: SQL cannot tokenize by the vocabulary; ``run`` is held against a plain version in tests/llm
 ORACLE_SQL = None
 
 

@@ -405,7 +405,14 @@ _SCORE = """CASE WHEN is_dead_ball>0.5::DOUBLE THEN 0 ELSE 1::DOUBLE/(1::DOUBLE+
  +0.55::DOUBLE*least(greatest(space_ahead_of_ball,0),30)/30-0.45::DOUBLE*least(greatest(defenders_within_10m_of_ball,0),6)/6))) END"""
 
 
-@query("score_heuristic", f"""[{FEATURE_PARTS}] AND {_FEATURES_CTES} SELECT match_id, frame, att AS team, {R(_SCORE)} AS probability FROM feat WHERE att = possession_team""")
+_SCORE_SQL = f"""[pl bv hyp] AND fa AS (SELECT match_id, frame, att, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in {**_ATTACK, **_CONE}.items() if n in scoring.INPUTS)}
+  FROM (SELECT pl.* FROM pl JOIN (SELECT match_id, frame, possession_team AS att FROM ctx) USING (match_id, frame, att)) GROUP BY match_id, frame, att),
+feat AS (SELECT h.match_id, h.frame, h.att, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in {**_BALL, **_CONTEXT}.items() if n in scoring.INPUTS)},
+  {', '.join(n for n in {**_ATTACK, **_CONE} if n in scoring.INPUTS)}
+  FROM hyp h JOIN bv USING (match_id, frame) JOIN fa USING (match_id, frame, att))"""
+
+
+@query("score_heuristic", f"{_SCORE_SQL} SELECT match_id, frame, att AS team, {R(_SCORE)} AS probability FROM feat")
 def score_heuristic(spark, d):
     return T.scored(spark, d).select("match_id", "frame", "team", r6("probability").alias("probability"))
 

@@ -46,5 +46,4 @@ def alarms(spark, d, threshold: float = 0.8) -> DataFrame:
 
 def scored(spark, d) -> DataFrame:
     """Every frame with known possession scored by the rule score of the attacking hypothesis."""
-    f = match_features(spark, d).filter(F.col("attacking_team") == F.col("possession_team"))
-    return f.withColumn("team", F.col("possession_team")).withColumn("probability", scoring.rule_score())
+    return features.rule_score_inputs(context(spark, d, True), S.orientation(spark)).withColumn("probability", scoring.rule_score())

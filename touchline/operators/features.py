@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import constants as C
+from touchline.functions import scoring
 from touchline.plans import segments
 
 BLOCK = 16384
@@ -278,3 +279,23 @@ def match_features(
         "match_id", "attacking_team", "period", "frame", "row_no", "period_row", "time_s",
         "possession_team", *[f"{expressions[name]} AS {name}" for name in C.FEATURES],
     )
+
+
+def rule_score_inputs(context: DataFrame, orientation: DataFrame, frame_rate: float = C.FRAME_RATE, width: int = BLOCK) -> DataFrame:
+    """The six features of the rule score, for the team in possession only, per (match_id, frame) with known possession.
+
+    The side is chosen in the row, so no frame is doubled, and only the ball's velocity looks back.
+    """
+    located = context.join(signs(orientation), ["match_id", "period"]).withColumnRenamed("players", "squad")
+    moving = velocities(located, frame_rate, width=width).filter(F.col("possession_team").isin(*C.TEAMS))
+    sided = moving.selectExpr(
+        "match_id", "frame", "possession_team AS team", "ball_x", "ball_y", "ball_vx", "is_dead_ball",
+        "cast(CASE possession_team WHEN 'home' THEN home_sign ELSE away_sign END AS double) AS _s",
+        "filter(squad, p -> p.team = possession_team) AS _own", "filter(squad, p -> p.team <> possession_team) AS _other",
+    )
+    rows = sided.selectExpr(
+        "match_id", "frame", "team", "ball_x", "ball_y", "is_dead_ball", "_s", "ball_x * _s AS _bx", "ball_y * _s AS _by", "ball_vx * _s AS _vx",
+        "struct(_own AS p) AS _a", f"struct(_other AS p, transform(_other, p -> {_dist('p.x', 'p.y', 'ball_x', 'ball_y')}) AS d) AS _d",
+    )
+    expressions = feature_expressions()
+    return rows.selectExpr("match_id", "frame", "team", *[f"{expressions[name]} AS {name}" for name in scoring.INPUTS])

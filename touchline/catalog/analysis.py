@@ -429,15 +429,15 @@ def agg_stage_counters(spark, d):
     return editorial.stage_counters(outcomes(spark, d), "reason", "kind")
 
 
-@query("agg_confidence_histogram", "[w] SELECT match_id, le, count(*) FILTER (probability<=le) AS n FROM w, (VALUES (0.05::DOUBLE),(0.1),(0.2),(0.3),(0.4),(0.5),(0.6),(0.7),(0.8),(0.9),(0.95),(1.0)) b(le) GROUP BY 1, 2")
+@query("agg_confidence_histogram", f"[w] SELECT match_id, le, count(*) FILTER (probability<=le) AS n, {R('sum(probability)')} AS total FROM w, (VALUES (0.05::DOUBLE),(0.1),(0.2),(0.3),(0.4),(0.5),(0.6),(0.7),(0.8),(0.9),(0.95),(1.0),('inf'::DOUBLE)) b(le) GROUP BY 1, 2")
 def agg_confidence_histogram(spark, d):
-    return editorial.histogram(S.windows(spark, d), "probability", keys=["match_id"]).filter("le <= 1.0").select("match_id", "le", "n")
+    return editorial.histogram(S.windows(spark, d), "probability", keys=["match_id"]).select("match_id", "le", "n", r6("total").alias("total"))
 
 
-@query("agg_latency_histogram", "SELECT event_type, le, count(*) FILTER (value/100<=le) AS n FROM events, (VALUES (0.0005::DOUBLE),(0.001),(0.002),(0.005),(0.01),(0.02),(0.05),(0.1),(0.25),(0.5),(1.0)) b(le) GROUP BY 1, 2")
+@query("agg_latency_histogram", f"SELECT event_type, le, count(*) FILTER (value/100<=le) AS n, {R('sum(value/100)')} AS total FROM events, (VALUES (0.0005::DOUBLE),(0.001),(0.002),(0.005),(0.01),(0.02),(0.05),(0.1),(0.25),(0.5),(1.0),('inf'::DOUBLE)) b(le) GROUP BY 1, 2")
 def agg_latency_histogram(spark, d):
     e = S.read(spark, d, "events").withColumn("v", F.col("value") / 100)
-    return editorial.histogram(e, "v", C.LATENCY_BUCKETS, ["event_type"]).filter("le <= 1.0").select("event_type", "le", "n")
+    return editorial.histogram(e, "v", C.LATENCY_BUCKETS, ["event_type"]).select("event_type", "le", "n", r6("total").alias("total"))
 
 
 # --- drift ------------------------------------------------------------------------------

@@ -455,7 +455,7 @@ def _window_rows(spark, d):
 
 _WIN = f"""[{FEATURE_PARTS} smp] AND {_FEATURES_CTES}, pk AS ({_PICKS}),
 wr AS (SELECT s.match_id, s.frame, s.team, pk.step, f.* EXCLUDE (match_id, frame, att) FROM smp s, pk JOIN feat f ON f.match_id=s.match_id AND f.att=s.team AND f.frame=s.frame-124+pk.off)"""
-_SUMMARY = ("ball_x", "ball_speed", "nearest_defender_dist", "recent_box_entry_count")
+_SUMMARY = C.FEATURES
 
 
 @query("join_window_rows", f"{_WIN} SELECT match_id, frame, count(*) AS steps, {R('sum(step*ball_x)')} AS weighted_x, {R('sum(space_ahead_of_ball)')} AS space FROM wr GROUP BY 1, 2")
@@ -474,6 +474,24 @@ def agg_window_summary(spark, d):
         (F.round(c, 4) if c.startswith("std") else r6(c)).alias(c) for f in _SUMMARY for c in (f"last__{f}", f"mean__{f}", f"std__{f}", f"delta__{f}")])
 
 
+@query("windows", f"{_WIN} SELECT match_id, frame, count(*) AS steps, {len(C.FEATURES)}::BIGINT AS width, round(sum({'+'.join(f'{f}::FLOAT::DOUBLE' for f in C.FEATURES)}),3) AS total, "
+       "round(sum(step*ball_x::FLOAT::DOUBLE),3) AS ordered_x, NULL::VARCHAR AS contract_error FROM wr GROUP BY 1, 2")
+def window_arrays(spark, d):
+    w = windows.check_windows(windows.window_arrays(_window_rows(spark, d)[0]))
+    add = lambda a, v: a + v.cast("double")
+    place = C.FEATURES.index("ball_x")
+    return w.select("match_id", F.col("row_no").alias("frame"), F.size("window").cast("long").alias("steps"), F.array_min(F.transform("window", F.size)).cast("long").alias("width"),
+                    F.round(F.aggregate(F.flatten("window"), F.lit(0.0), add), 3).alias("total"),
+                    F.round(F.aggregate(F.transform("window", lambda r, i: i * r[place].cast("double")), F.lit(0.0), lambda a, v: a + v), 3).alias("ordered_x"), "contract_error")
+
+
+@query("set_union_matches", "[smp] SELECT match_id, count(*) AS n, count(*) FILTER (hit) AS positives, sum(row_no)::BIGINT AS places FROM smp GROUP BY 1")
+def set_union_matches(spark, d):
+    s = stage(T.samples(spark, d)[0])
+    parts = [s.filter("match_id < 2"), s.filter("match_id >= 2").select(*reversed(s.columns))]
+    return windows.union_matches(parts).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"), F.sum("row_no").alias("places"))
+
+
 @query("chk_batch_contract", """SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'length' WHEN vec_id % 4 = 1 THEN 'width' WHEN vec_id % 4 = 2 THEN 'non_finite' END AS contract_error FROM embeddings""")
 def chk_batch_contract(spark, d):
     e = F.col("embedding")

@@ -1,6 +1,7 @@
 """Model windows: validity, subsampling, window rows, summaries."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,3 +137,13 @@ def train_val_split(
     t, cut = F.col("time_s"), F.col("cut_s")
     split = F.when(t < cut - embargo_s, "train").when(t >= cut + embargo_s, "validation")
     return samples.join(cuts, "match_id").withColumn("split", split)
+
+
+def union_matches(tables: Sequence[DataFrame]) -> DataFrame:
+    """Windows or labels of several datasets as one table, columns met by name; datasets of other columns are refused."""
+    if not tables:
+        raise ValueError("no dataset to unite")
+    for other in tables[1:]:
+        if set(other.columns) != set(tables[0].columns):
+            raise ValueError(f"columns differ: {sorted(set(other.columns) ^ set(tables[0].columns))}")
+    return reduce(DataFrame.unionByName, tables)

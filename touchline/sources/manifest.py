@@ -13,19 +13,22 @@ def hash_files(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
 def check_manifest(manifest: DataFrame, hashed: DataFrame) -> DataFrame:
     """Manifest rows (match_id, key, path, sha256) with status ok, changed or missing.
 
-    A manifest path is relative: it has to match the end of the path read.
+    A manifest path is relative: it has to match the end of the path read. Every file is offered under each end of its
+    path, so files of one name in many folders meet their own rows only.
     """
-    found = hashed.select(F.col("sha256").alias("_found"), F.col("path").alias("_path"), F.element_at(F.split("path", "/"), -1).alias("_name"))
-    rows = manifest.withColumn("_name", F.element_at(F.split("path", "/"), -1))
-    joined = rows.join(found, (rows["_name"] == found["_name"]) & F.col("_path").endswith(F.concat(F.lit("/"), rows["path"])), "left")
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    found = hashed.select(F.col("sha256").alias("_found"), F.explode(ends).alias("_end"))
+    joined = manifest.join(found, manifest["path"] == found["_end"], "left")
     status = F.when(F.col("_found").isNull(), "missing").when(F.col("_found") != F.col("sha256"), "changed").otherwise("ok")
-    return joined.select("match_id", "key", rows["path"], "sha256", status.alias("status"))
+    return joined.select("match_id", "key", "path", "sha256", status.alias("status"))
 
 
 def require_manifest(checked: DataFrame) -> DataFrame:
-    bad = checked.filter("status <> 'ok'").select("match_id", "key", "status").limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['match_id']}: {r['key']} {r['status']}" for r in bad))
+    bad = checked.filter("status <> 'ok'").select("match_id", "key", "status")
+    first = bad.limit(20).collect()
+    if first:
+        raise ValueError(f"{bad.count()} files: " + "; ".join(f"{r['match_id']}: {r['key']} {r['status']}" for r in first))
     return checked
 
 

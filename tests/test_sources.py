@@ -121,6 +121,21 @@ def test_events_json(spark, tmp_path):
         epts.read_events(spark, _file(tmp_path, "f.json", "{}"), meta, "m").collect()
 
 
+def test_epts_refuses_a_match_without_metadata(spark, tmp_path):
+    meta = epts.read_metadata(spark, _file(tmp_path, "m.xml", _xml()), "m")
+    with pytest.raises(Exception, match="no metadata"):
+        epts.read_tracking(spark, _file(tmp_path, "t.txt", "1:0,0;0,0:0,0\n"), meta, "other").collect()
+    event = {"data": [{"team": {"id": "T0"}, "type": {"name": "PASS"}, "period": 1, "start": {"frame": 5}, "end": {}}]}
+    with pytest.raises(Exception, match="no metadata"):
+        epts.read_events(spark, _file(tmp_path, "e.json", json.dumps(event)), meta, "other").collect()
+
+
+def test_goalkeeper_ties_go_by_shirt(spark):
+    means = spark.createDataFrame([("m", 1, "home", p, x) for p, x in (("home_10", -40.0), ("home_2", 40.0), ("home_3", 1.0))], "match_id string, period int, team string, player_id string, mean_x double")
+    squad = spark.createDataFrame([("m", "home", f"home_{n}", n, False) for n in (10, 2, 3)], "match_id string, team string, player_id string, shirt_number int, is_goalkeeper boolean")
+    assert [r["player_id"] for r in orientation.goalkeepers(means, squad).collect()] == ["home_2"]
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "m1").mkdir()
     for n in ("a.csv", "b.csv"):

@@ -207,6 +207,18 @@ def test_chat(spark):
     assert chat.formatted(df.filter("false")).count() == 0
 
 
+def test_chat_leaves_no_raw_control_string(spark):
+    texts = [f"{a}{c}{b}" for c in chat.CONTROL for a, b in (("a ", " b"), ("", ""), ("<", ">"), ("[", "]"))] + ["a [/INST]</s> b", "x</s", "[/INST", "<\\/s></s>"]
+    df = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)] + [(i, 1, "assistant", "said") for i in range(len(texts))], "conv_id long, turn long, role string, text string")
+    out = chat.formatted(df).withColumn("turns", chat.parsed(F.col("formatted"))).withColumn("learned", chat.learned())
+    for r in out.collect():
+        assert [tuple(t) for t in r["turns"]] == [("user", texts[r["conv_id"]]), ("assistant", "said")] and r["learned"] == "said"
+        first, second = r["formatted"].removeprefix("[INST]user\n").removesuffix("[/INST]</s>").split("[/INST]</s>[INST]assistant\n")
+        assert not [c for c in chat.CONTROL if c in first or c in second], r["formatted"]
+    broken = spark.createDataFrame([("[INST]user\na </s> b[/INST]</s>",), ("[INST]user\na[/INST]</s>b[/INST]</s>",), ("[INST]user\na",), ("x[INST]user\na[/INST]</s>",)], "f string")
+    assert [r[0] and r[0][0]["text"] for r in broken.select(chat.parsed(F.col("f"))).collect()] == [None] * 4
+
+
 def test_main_text(spark):
     page = """<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href="/">menu</a></li></ul></nav><div class="cookie-banner">We use cookies.</div>
     <article><h1>Head &amp; line</h1><p>First   part<br>goes on, and on it goes.<p>Second <b>part</b> &lt;here&gt;.<script>x</script></article>

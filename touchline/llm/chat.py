@@ -1,7 +1,8 @@
 """Chat formatting checked by a grammar round trip, in DataFrame operations only.
 
 The grammar: a conversation is a row of turns; a turn is ``[INST]``, the role as URL text, a line feed, the text and
-``[/INST]``, closed by ``</s>``. Every conversation is rendered plainly and parsed back by the grammar; where the recovered turns are
+``[/INST]``, closed by ``</s>``. A body ends at its first closing, the next turn or nothing follows it, and no control string
+stands in it. Every conversation is rendered plainly and parsed back by the grammar; where that is broken or the recovered turns are
 not the source's, its texts are escaped, rendered and parsed again, and a difference after that is an error. Escaping puts
 a backslash behind the first character of each control string, and one more where there is one already, so that
 it is undone exactly.
@@ -28,6 +29,7 @@ def _quoted(s: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in s)
 
 
+_ANY = "(?=[\\[<])(?:" + "|".join(_quoted(s) for s in CONTROL) + ")"
 _HEAD, _TAIL = "([\\[<])", "(?=" + "|".join(_quoted(s[1:]) for s in sorted(CONTROL, key=len, reverse=True)) + ")"
 
 
@@ -49,16 +51,17 @@ def rendered(turns: Column, escaped: bool) -> Column:
 
 
 def parsed(formatted: Column) -> Column:
-    """Turns of a text, by the grammar: each runs from its opening to the next."""
+    """Turns of a text, by the grammar; a turn that breaks it has a null text, and a text that does not begin with a turn has none."""
     bodies = F.filter(F.split(formatted, _quoted(OPEN)), lambda _, i: i > 0)
 
     def one(b: Column) -> Column:
         at = F.instr(b, "\n")
         body = F.substring(b, at + 1, F.char_length(b))
-        text = F.substring(body, F.lit(1), F.char_length(body) - len(CLOSE + STOP))
-        return F.struct(F.url_decode(F.substring(b, F.lit(1), at - 1)).alias("role"), unescape(text).alias("text"))
+        text = F.substring_index(body, CLOSE + STOP, 1)
+        whole = (at > 0) & (F.concat(text, F.lit(CLOSE + STOP)) == body) & ~F.rlike(text, F.lit(_ANY))
+        return F.struct(F.url_decode(F.substring(b, F.lit(1), at - 1)).alias("role"), F.when(whole, unescape(text)).alias("text"))
 
-    return F.transform(bodies, one)
+    return F.when(F.startswith(formatted, F.lit(OPEN)), F.transform(bodies, one))
 
 
 def formatted(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -171,6 +171,38 @@ def test_order_minhash(docs, texts):
     assert 0 < len(a & b) < len(a)
 
 
+def test_order_minhash_numbers_occurrences(spark):
+    line, one, two = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 60), ("a", 150), ("b", 150)))
+    pairs = [(" ".join([line] * 3), " ".join([line] * 100)), (" ".join([one, two, one, two]), " ".join([one, one, two, two])), (one, f"{one} {one}")]
+    df = order_minhash.fingerprint(order_minhash.fingerprint(spark.createDataFrame(pairs, "a string, b string"), "a", "fa"), "b", "fb")
+    few, swapped, twice = (r[0] for r in df.select(order_minhash.likeness("fa", "fb")).collect())
+    assert few < 0.2 and 0.5 < swapped < 0.92 and twice < 0.7
+    # the kept k-mers of each class, by plain loops over the operator's own hashes
+    texts = [" ".join(random.Random(s).choices([f"v{i}" for i in range(k)], k=n)) for s, (k, n) in enumerate([(3, 400), (40, 900), (900, 900), (1, 50), (2, 2), (5, 1)])]
+    rows = order_minhash.fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "fp").collect()
+    hashed = {}
+
+    def xx(*values):
+        if values not in hashed:
+            hashed[values] = spark.range(1).select(F.xxhash64(*[F.lit(v).cast("long") if isinstance(v, int) else F.lit(v) for v in values[:-1]], F.lit(values[-1][0]).cast(values[-1][1]))).first()[0]
+        return hashed[values]
+
+    for r in (rows[0], rows[3], rows[4], rows[5]):
+        w = [xx((x, "string")) for x in r["text"].split(" ")]
+        seen, kept = {}, {}
+        for i, k in enumerate([xx(a, (b, "long")) for a, b in zip(w, w[1:], strict=False)] or w):
+            top = k >> 24 & (1 << 40) - 1
+            o = seen[top] = seen.get(top, -1) + 1
+            top = xx(top, (o, "int")) >> 24 & (1 << 40) - 1 if o else top
+            kept.setdefault(top >> 34, []).append((top, i))
+        want = []
+        for c in sorted(kept, key=lambda c: c ^ 32):
+            two = [top for top, _ in sorted(sorted(kept[c], key=lambda x: x[0])[:2], key=lambda x: x[1])]
+            low = xx(two[0], (two[1], "long")) if len(two) > 1 else xx((two[0], "long"))
+            want.append(c << 18 | low & 0x3FFFF)
+        assert sorted(r["fp"]) == sorted(want)
+
+
 def test_next_bucket_follows_sparse_ids(spark):
     ids = [1, 2, 300, 5 << 20, (5 << 20) + 1, 7 << 40, -4]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")

@@ -1,10 +1,10 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
-The k-mers of a text are its pairs of neighbouring words, numbered by occurrence. Each falls into one of
-64 classes by its hash; in each class the two smallest occurrence-numbered k-mers are kept, put back
+The k-mers of a text are its pairs of neighbouring words, each numbered by its occurrence in the text. K-mer and number
+are hashed together and fall into one of 64 classes by that hash; in each class the two smallest are kept, put back
 in text order and hashed as a tuple. Moving, inserting or changing text changes tuples in
 proportion to the edit distance, and swapping two parts changes them too, which a plain MinHash does not see.
-K-mers are ordered by hash and, where it is equal, by occurrence.
+K-mers are told apart by the upper 40 bits of their hash; the place of an occurrence only restores text order.
 
 Defined cases: null is empty; an empty text is one empty word; a text of one word has that word as its k-mer; equal
 texts have equal fingerprints; ties of ``doc_id`` are ordered by text; a null id sorts as the smallest; the only row of a table is its own next; further columns are left out.
@@ -40,7 +40,22 @@ def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     plain = F.transform("_k", lambda x, i: x.bitwiseAND(mask).bitwiseOR(i.cast("long")))
     # beyond 2^24 words neighbouring places share a number
     coarse = F.transform("_k", lambda x, i: x.bitwiseAND(mask).bitwiseOR(F.floor(i * last / F.size("_k")).cast("long")))
-    df = df.withColumn("_s", F.sort_array(F.when(F.size("_k") <= 1 << PLACE_BITS, plain).otherwise(coarse)))
+    df = df.withColumn("_o", F.sort_array(F.when(F.size("_k") <= 1 << PLACE_BITS, plain).otherwise(coarse)))
+
+    def again(x: Column, i: Column) -> Column:
+        """Whether the k-mer is the one before it in ``_o``."""
+        return F.coalesce(F.get(F.col("_o"), i - 1).bitwiseAND(mask) == x.bitwiseAND(mask), F.lit(False))
+
+    def numbered(x: Column, o: Column) -> Column:
+        return F.xxhash64(F.shiftrightunsigned(x, PLACE_BITS), o).bitwiseAND(mask).bitwiseOR(place(x))
+
+    # a first occurrence keeps the k-mer's hash; of the others, runs are cut out between their first and last
+    df = df.withColumn("_a", F.transform("_o", again))
+    begins = F.filter(F.transform("_a", lambda a, i: F.when(a & ~F.get(F.col("_a"), i - 1), i)), lambda i: i.isNotNull())
+    ends = F.filter(F.transform("_a", lambda a, i: F.when(a & ~F.coalesce(F.get(F.col("_a"), i + 1), F.lit(False)), i)), lambda i: i.isNotNull())
+    rest = F.flatten(F.zip_with(begins, ends, lambda b, e: F.transform(F.slice("_o", b + 1, e - b + 1), lambda x, o: numbered(x, o + 1))))
+    first = F.filter("_o", lambda x, i: ~F.get(F.col("_a"), i))
+    df = df.withColumn("_s", F.when(F.exists("_a", lambda a: a), F.sort_array(F.concat(first, rest))).otherwise(F.col("_o")))
     df = df.withColumn("_m", F.filter("_s", lambda x, i: (i < 2) | (kind(F.get(F.col("_s"), i - 2)) != kind(x))))
 
     def entry(x: Column, i: Column) -> Column:

@@ -14,7 +14,7 @@ from touchline.sources import epts, events_csv, sinks, tracking_csv
 from touchline.sources import star_tables as S
 from touchline.sources.text_order import match_from_path
 from touchline.streaming import live
-from touchline.streaming.run import run_to_end
+from touchline.streaming.run import FILES_PER_TRIGGER, run_to_end
 
 # --- round trips through the file formats -----------------------------------------------
 
@@ -165,7 +165,7 @@ def src_prepared(spark, d):
     CASE WHEN n<128 THEN 'insufficient_frames' WHEN r<0.8::DOUBLE OR NOT v.has THEN 'invalid_window' END AS invalid_reason FROM ok LEFT JOIN v ON v.match_id=ok.match_id AND v.sequence=ok.sequence""")
 def st_ingest(spark, d):
     a = _degraded(spark, d).selectExpr("match_id", "0L AS session", "sequence", "period", "frame", "ball_x IS NOT NULL AS has_ball")
-    return run_to_end(a, lambda s: live.observed(live.ingest_stream(s))).select("match_id", "sequence", "accepted", "missing", "invalid_reason")
+    return run_to_end(a, lambda s: live.observed(live.ingest_stream(s)), FILES_PER_TRIGGER, ["sequence"]).select("match_id", "sequence", "accepted", "missing", "invalid_reason")
 
 
 @query("st_context", f"[ctx] SELECT match_id, frame, possession_team, {R('possession_duration_s')} AS possession_duration_s, possession_event_count, is_dead_ball, event_in_flight, recent_pass_count FROM ctx")
@@ -175,12 +175,12 @@ def st_context(spark, d):
                           "period", "time_s", "ball_x", "ball_y", "home_sign", "away_sign")
     events = S.events(spark, d).selectExpr("match_id", "0L AS session", "0 AS kind", "start_frame AS frame", "event_seq AS seq", "team", "type", "end_frame",
                                            "0 AS period", "0D AS time_s", "cast(null AS double) AS ball_x", "cast(null AS double) AS ball_y", "0 AS home_sign", "0 AS away_sign")
-    out = run_to_end(frames.unionByName(events), live.context_stream)
+    out = run_to_end(frames.unionByName(events), live.context_stream, FILES_PER_TRIGGER, ["frame", "kind", "seq"])
     return out.select("match_id", "frame", "possession_team", r6("possession_duration_s").alias("possession_duration_s"), "possession_event_count", "is_dead_ball", "event_in_flight", "recent_pass_count")
 
 
 def _streamed_outcomes(spark, d):
-    return run_to_end(_scored_rows(spark, d).withColumn("session", F.lit(0).cast("bigint")), lambda s: live.editorial_stream(s, 0.4))
+    return run_to_end(_scored_rows(spark, d).withColumn("session", F.lit(0).cast("bigint")), lambda s: live.editorial_stream(s, 0.4), FILES_PER_TRIGGER, ["row_no"])
 
 
 @query("st_editorial", f"[w] AND RECURSIVE_ {_SC} SELECT match_id, row_no, kind, reason, reason IS NULL AS emitted FROM oc")
@@ -191,7 +191,7 @@ def st_editorial(spark, d):
 @query("st_rollup", f"""[w] AND RECURSIVE_ {_SC}, rl AS (SELECT match_id, (row_no-1)//25 AS interval, reason, count(*) AS n FROM oc GROUP BY 1,2,3)
     SELECT match_id, interval, sum(n)::BIGINT AS frames, coalesce(sum(n) FILTER (reason IS NULL),0)::BIGINT AS emitted, coalesce(string_agg(reason||'='||n, ',' ORDER BY reason) FILTER (reason IS NOT NULL),'') AS counts FROM rl GROUP BY 1,2 HAVING sum(n)=25""")
 def st_rollup(spark, d):
-    return run_to_end(_streamed_outcomes(spark, d), live.rollup_stream).drop("session")
+    return run_to_end(_streamed_outcomes(spark, d), live.rollup_stream, FILES_PER_TRIGGER, ["row_no"]).drop("session")
 
 
 # --- models -----------------------------------------------------------------------------

@@ -4,14 +4,43 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from touchline.session import stage_dir
+from touchline.session import stage, stage_dir
 
+#: rows of a file of an ordered input, and files of a micro-batch: what a stream holds at once
+FILE_ROWS, FILES_PER_TRIGGER = 1 << 14, 8
 
-def run_to_end(source: DataFrame, transform, files_per_trigger: int | None = None) -> DataFrame:
-    """Write ``source`` as a stage table, stream it through ``transform``, return what came out."""
+
+def _dated(spark, path: str) -> int:
+    """Files of a range-partitioned table get ascending times, in which the file source reads them; how many there are."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    first = max((f.getModificationTime() for f in files), default=0) // 1000 * 1000
+    for i, f in enumerate(files):
+        fs.setTimes(f.getPath(), first + 1000 * i, -1)
+        if fs.getFileStatus(f.getPath()).getModificationTime() != first + 1000 * i:
+            raise ValueError(f"{path} is in a store without file times, so its files can't be read in order")
+    return len(files)
+
+
+def run_to_end(source: DataFrame, transform, files_per_trigger: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Write ``source`` as a stage table, stream it through ``transform``, return what came out.
+
+    With ``order`` the table is cut by ranges of these columns into files of about ``FILE_ROWS`` rows that are read in that order,
+    so that micro-batches of ``files_per_trigger`` files follow each other in every match.
+    """
     spark = source.sparkSession
     base = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{base}/in")
+    if order:
+        source = stage(source)
+        files = max(1, -(-source.count() // FILE_ROWS))
+        source.repartitionByRange(files, *order, "match_id", "session").write.parquet(f"{base}/in")
+        written = _dated(spark, f"{base}/in")
+        if files_per_trigger:  # a batch is bounded in rows, so more and smaller files count for less
+            files_per_trigger = max(1, files_per_trigger * written // files)
+    else:
+        source.write.parquet(f"{base}/in")
     reader = spark.readStream.schema(source.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

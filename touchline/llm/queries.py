@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat, jaccard, language, main_text, order_minhash, packing, substring, toxicity, warc, winnow
+from touchline.llm import assignments, chat, jaccard, language, main_text, order_minhash, packing, periodic, ranked, substring, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,56 @@ def op10(spark, d):
     train = docs.filter(~language.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     model = language.fit(train, language.known_labels(train))
     return language.predict(docs, model, ["doc_id"]).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_ranked_search", ranked.ORACLE)
+def op11(spark, d):
+    return ranked.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def rewritten(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The query's texts: of ids whose crc32 leaves 0 modulo 10 the words from one on repeat; a null id leaves its text as it is."""
+    pieces = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(p):
+        n = F.size(p).cast("long")
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        source = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(p, F.when(i < a, i).otherwise(a + (i - a) % period).cast("int")))
+        return F.when(n > 0, F.array_join(source, " ")).otherwise(F.col(text))
+
+    # the array is made once: a lambda over it binds it
+    whole = F.get(F.transform(F.array(pieces), repeated), 0)
+    return F.when(h % 10 == 0, whole).otherwise(F.col(text))
+
+
+def _text(span, *names: str) -> Column:
+    return F.concat_ws(",", *(span[n] for n in names))
+
+
+@query("op12_periodic_runs")
+def op12(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", rewritten().alias("text"))
+    # greatest length, then smallest start and period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = periodic.periodic_runs(docs).withColumn("best", best)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(_text(r, "start", "length", "period"), F.lit("\n"))), "")
+    length = -F.col("best.less")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+                      F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_secret_scan")
+def op13(spark, d):
+    out = assignments.scan(table(spark, d, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return out.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -369,15 +369,17 @@ _SCORED = {
     "is_dead_ball": "CASE WHEN row_no % 11 = 0 THEN 1 ELSE 0 END", "ball_in_box": "CASE WHEN row_no % 13 = 0 THEN 1 ELSE 0 END",
     "recent_box_entry_count": "(row_no // 37) % 4", "possession_duration_s": "(row_no // 5) % 20",
 }
-_SC = "sc AS (SELECT w.*, " + ", ".join(f"{e} AS {n}" for n, e in _SCORED.items()) + """, probability+0 AS prob FROM w),
+_SC0 = "sc AS (SELECT w.*, " + ", ".join(f"{e} AS {n}" for n, e in _SCORED.items()) + """, probability+0 AS prob FROM w),
 s1 AS (SELECT *, CASE WHEN NOT window_valid AND invalid_reason='insufficient_frames' THEN 'insufficient_frames' WHEN NOT window_valid THEN 'invalid_window' WHEN is_dead_ball=1 THEN 'dead_ball'
   WHEN ball_in_box=1 THEN 'already_in_box' WHEN probability<0.4::DOUBLE THEN 'low_confidence' END AS r0,
-  CASE WHEN recent_box_entry_count>=2 AND possession_duration_s>=8 THEN 'sustained_pressure' WHEN probability>=0.4::DOUBLE+0.6::DOUBLE*0.45::DOUBLE THEN 'elevated_entry_chance' ELSE 'building_threat' END AS kd FROM sc),
-s2 AS (SELECT *, CASE WHEN r0 IS NOT NULL THEN r0 WHEN coalesce(lag(r0) OVER (PARTITION BY match_id ORDER BY row_no),'x')<>'x' OR row_no=1 THEN 'not_yet_sustained' END AS r1 FROM s1),
+  CASE WHEN recent_box_entry_count>=2 AND possession_duration_s>=8 THEN 'sustained_pressure' WHEN probability>=0.4::DOUBLE+0.6::DOUBLE*0.45::DOUBLE THEN 'elevated_entry_chance' ELSE 'building_threat' END AS kd FROM sc)"""
+#: from rows with the first rule that withholds them (r0) and their kind (kd) to outcomes
+_POLICY = """s2 AS (SELECT *, CASE WHEN r0 IS NOT NULL THEN r0 WHEN coalesce(lag(r0) OVER (PARTITION BY match_id ORDER BY row_no),'x')<>'x' OR row_no=1 THEN 'not_yet_sustained' END AS r1 FROM s1),
 so AS (SELECT match_id, kd, row_no, time_s, row_number() OVER (PARTITION BY match_id, kd ORDER BY row_no) AS k FROM s2 WHERE r1 IS NULL),
 gc AS (SELECT match_id, kd, k, row_no, time_s, time_s AS a FROM so WHERE k=1 UNION ALL SELECT s.match_id, s.kd, s.k, s.row_no, s.time_s, CASE WHEN s.time_s-g.a<=45 THEN g.a ELSE s.time_s END FROM gc g JOIN so s ON s.match_id=g.match_id AND s.kd=g.kd AND s.k=g.k+1),
 oc AS (SELECT s2.match_id, s2.row_no, s2.time_s, s2.team, CASE WHEN r0 IS NULL THEN s2.kd END AS kind, coalesce(r1, CASE WHEN gc.time_s-a=0 THEN NULL WHEN gc.time_s-a<20 THEN 'cooldown' ELSE 'duplicate_recent' END) AS reason, probability
   FROM s2 LEFT JOIN gc ON gc.match_id=s2.match_id AND gc.row_no=s2.row_no)"""
+_SC = f"{_SC0},\n{_POLICY}"
 
 
 def _scored_rows(spark, d):

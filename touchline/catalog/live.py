@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline import constants as C
 from touchline.catalog import tables as T
-from touchline.catalog.analysis import _DEG, _SC, _degraded, _scored_rows
+from touchline.catalog.analysis import _DEG, _POLICY, _SC, _degraded, _scored_rows
 from touchline.catalog.registry import R, query, r6
 from touchline.operators import editorial, features, labels, models, windows
 from touchline.session import stage, stage_dir
@@ -14,7 +14,7 @@ from touchline.sources import epts, events_csv, sinks, tracking_csv
 from touchline.sources import star_tables as S
 from touchline.sources.text_order import match_from_path
 from touchline.streaming import live
-from touchline.streaming.run import FILES_PER_TRIGGER, run_to_end
+from touchline.streaming.run import route_messages, run_to_end, with_metrics
 
 # --- round trips through the file formats -----------------------------------------------
 
@@ -155,43 +155,165 @@ def src_prepared(spark, d):
 
 # --- streams ----------------------------------------------------------------------------
 
+#: event times begin here: a watermark begins at 0
+_START_MS = 10_000_000
+_FRAME_MS = 40
 
-@query("st_ingest", f"[frames] AND {_DEG}" + """,
-    mx AS (SELECT ds.match_id, sequence, ds.frame, max(ds.frame) OVER (PARTITION BY ds.match_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, f.period, f.ball_x IS NOT NULL AS has
+
+def _arrivals(spark, d, carry=()):
+    """Frames of the degraded feed; arrival time is the place in the feed, so late and repeated frames keep theirs."""
+    place = F.col("row_no") - 1 + F.when(F.col("was_reordered"), C.DEGRADE_PROFILES["degraded"]["reorder_by"]).otherwise(0)
+    at_ms = (F.lit(_START_MS) + place * _FRAME_MS).cast("bigint").alias("at_ms")
+    return _degraded(spark, d).select("match_id", at_ms, F.lit(None).cast("string").alias("control"), "sequence", "period", "frame", F.col("ball_x").isNotNull().alias("has_ball"), *carry)
+
+
+def _shuffled(rows):
+    """In files that each hold rows of every time: no order of files is the order of the feed."""
+    return rows.repartition(F.xxhash64("at_ms"))
+
+
+_NEWEST = """mx AS (SELECT ds.match_id, sequence, ds.frame, max(ds.frame) OVER (PARTITION BY ds.match_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, f.period, f.ball_x IS NOT NULL AS has
       FROM ds JOIN frames f ON f.match_id=ds.match_id AND f.frame=ds.frame),
     ok AS (SELECT *, coalesce(frame>newest,true) AS accepted FROM mx),
-    v AS (SELECT match_id, sequence, has, count(*) OVER x AS n, avg(has::INT) OVER x AS r FROM ok WHERE accepted WINDOW x AS (PARTITION BY match_id, period ORDER BY sequence ROWS BETWEEN 127 PRECEDING AND CURRENT ROW))
-    SELECT ok.match_id, ok.sequence, accepted, CASE WHEN accepted THEN coalesce(frame-newest-1,0) ELSE 0 END AS missing,
-    CASE WHEN n<128 THEN 'insufficient_frames' WHEN r<0.8::DOUBLE OR NOT v.has THEN 'invalid_window' END AS invalid_reason FROM ok LEFT JOIN v ON v.match_id=ok.match_id AND v.sequence=ok.sequence""")
+    v AS (SELECT match_id, sequence, frame, has, count(*) OVER x AS n, avg(has::INT) OVER x AS r FROM ok WHERE accepted WINDOW x AS (PARTITION BY match_id, period ORDER BY sequence ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)),
+    vr AS (SELECT *, CASE WHEN n<128 THEN 'insufficient_frames' WHEN r<0.8::DOUBLE OR NOT has THEN 'invalid_window' END AS invalid_reason FROM v)"""
+
+
+@query("st_ingest", f"[frames] AND {_DEG}, {_NEWEST} SELECT ok.match_id, ok.sequence, accepted, CASE WHEN accepted THEN coalesce(ok.frame-newest-1,0) ELSE 0 END AS missing, CASE WHEN NOT accepted THEN 'out_of_order' END AS rejection, invalid_reason FROM ok LEFT JOIN vr USING (match_id, sequence)")
 def st_ingest(spark, d):
-    a = _degraded(spark, d).selectExpr("match_id", "0L AS session", "sequence", "period", "frame", "ball_x IS NOT NULL AS has_ball")
-    return run_to_end(a, lambda s: live.observed(live.ingest_stream(s)), FILES_PER_TRIGGER, ["sequence"]).select("match_id", "sequence", "accepted", "missing", "invalid_reason")
+    out = run_to_end(_shuffled(_arrivals(spark, d)), live.ingest_stream)
+    return out.select("match_id", "sequence", "accepted", "missing", "rejection", "invalid_reason")
+
+
+@query("st_window", f"[frames] AND {_DEG}, {_NEWEST} SELECT match_id, frame, invalid_reason IS NULL AS window_valid, invalid_reason FROM vr")
+def st_window(spark, d):
+    out = run_to_end(_shuffled(_arrivals(spark, d)), live.ingest_stream)
+    return out.filter("accepted").select("match_id", "frame", "window_valid", "invalid_reason")
+
 
+_EVENT_COLUMNS = ("team", "type", "end_frame")
 
-@query("st_context", f"[ctx] SELECT match_id, frame, possession_team, {R('possession_duration_s')} AS possession_duration_s, possession_event_count, is_dead_ball, event_in_flight, recent_pass_count FROM ctx")
+
+def _events(spark, d):
+    """Events arrive just before the first frame that they are known at."""
+    at_ms = (F.lit(_START_MS - _FRAME_MS // 2) + (F.col("start_frame") - 1) * _FRAME_MS).cast("bigint").alias("at_ms")
+    return S.events(spark, d).select("match_id", at_ms, F.lit(0).alias("kind"), F.col("start_frame").alias("frame"), F.col("event_seq").alias("seq"), *_EVENT_COLUMNS)
+
+
+def _with_signs(spark, frames):
+    return frames.join(features.signs(S.orientation(spark)), ["match_id", "period"]).withColumn("kind", F.lit(1)).withColumn("seq", F.lit(0).cast("bigint"))
+
+
+_ENTRIES = """be AS (SELECT *, inside AND NOT lag(inside,1,false) OVER (PARTITION BY match_id, period ORDER BY frame) AS entry FROM seen),
+    hs AS (SELECT *, sum(entry::INT) OVER (PARTITION BY match_id, period ORDER BY round(time_s*1000000)::BIGINT RANGE BETWEEN 120000000 PRECEDING AND CURRENT ROW)::BIGINT - entry::INT AS entries,
+      least(120::DOUBLE, coalesce(time_s - max(CASE WHEN entry THEN time_s END) OVER (PARTITION BY match_id, period ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 120::DOUBLE)) AS since FROM be)"""
+
+
+@query("st_context", f"""[ins] AND seen AS (SELECT * FROM ins), {_ENTRIES} SELECT match_id, frame, possession_team, {R('possession_duration_s')} AS possession_duration_s, possession_event_count, is_dead_ball, event_in_flight, recent_pass_count,
+    entries AS recent_box_entry_count, {R('since')} AS time_since_last_box_entry, inside AS in_box FROM hs""")
 def st_context(spark, d):
-    f = S.frames(spark, d).join(features.signs(S.orientation(spark)), ["match_id", "period"])
-    frames = f.selectExpr("match_id", "0L AS session", "1 AS kind", "frame", "0L AS seq", "cast(null AS string) AS team", "cast(null AS string) AS type", "0L AS end_frame",
-                          "period", "time_s", "ball_x", "ball_y", "home_sign", "away_sign")
-    events = S.events(spark, d).selectExpr("match_id", "0L AS session", "0 AS kind", "start_frame AS frame", "event_seq AS seq", "team", "type", "end_frame",
-                                           "0 AS period", "0D AS time_s", "cast(null AS double) AS ball_x", "cast(null AS double) AS ball_y", "0 AS home_sign", "0 AS away_sign")
-    out = run_to_end(frames.unionByName(events), live.context_stream, FILES_PER_TRIGGER, ["frame", "kind", "seq"])
-    return out.select("match_id", "frame", "possession_team", r6("possession_duration_s").alias("possession_duration_s"), "possession_event_count", "is_dead_ball", "event_in_flight", "recent_pass_count")
+    at_ms = (F.lit(_START_MS) + (F.col("frame") - 1) * _FRAME_MS).cast("bigint").alias("at_ms")
+    frames = _with_signs(spark, S.frames(spark, d)).select("match_id", at_ms, "kind", "frame", "seq", "period", "time_s", "ball_x", "ball_y", "home_sign", "away_sign")
+    timeline = frames.unionByName(_events(spark, d), allowMissingColumns=True).withColumn("control", F.lit(None).cast("string"))
+    out = run_to_end(_shuffled(timeline), live.context_stream)
+    return out.select("match_id", "frame", "possession_team", r6("possession_duration_s").alias("possession_duration_s"), "possession_event_count", "is_dead_ball", "event_in_flight", "recent_pass_count",
+                      "recent_box_entry_count", r6("time_since_last_box_entry").alias("time_since_last_box_entry"), "in_box")
 
 
-def _streamed_outcomes(spark, d):
-    return run_to_end(_scored_rows(spark, d).withColumn("session", F.lit(0).cast("bigint")), lambda s: live.editorial_stream(s, 0.4), FILES_PER_TRIGGER, ["row_no"])
+def _scored_feed(spark, d):
+    at_ms = (F.lit(_START_MS) + F.col("row_no") * _FRAME_MS).cast("bigint")
+    return _shuffled(_scored_rows(spark, d).withColumn("at_ms", at_ms).withColumn("control", F.lit(None).cast("string")))
 
 
 @query("st_editorial", f"[w] AND RECURSIVE_ {_SC} SELECT match_id, row_no, kind, reason, reason IS NULL AS emitted FROM oc")
 def st_editorial(spark, d):
-    return _streamed_outcomes(spark, d).select("match_id", "row_no", "kind", "reason", "emitted")
+    return run_to_end(_scored_feed(spark, d), lambda s: live.editorial_stream(s, 0.4)).select("match_id", "row_no", "kind", "reason", "emitted")
+
+
+_ROLLED = """rl AS (SELECT match_id, (row_no-1)//25 AS interval, reason, count(*) AS n FROM oc GROUP BY 1,2,3),
+    rolled AS (SELECT match_id, interval, sum(n)::BIGINT AS frames, coalesce(sum(n) FILTER (reason IS NULL),0)::BIGINT AS emitted, coalesce(string_agg(reason||'='||n, ',' ORDER BY reason) FILTER (reason IS NOT NULL),'') AS counts FROM rl GROUP BY 1,2 HAVING sum(n)=25)"""
 
 
-@query("st_rollup", f"""[w] AND RECURSIVE_ {_SC}, rl AS (SELECT match_id, (row_no-1)//25 AS interval, reason, count(*) AS n FROM oc GROUP BY 1,2,3)
-    SELECT match_id, interval, sum(n)::BIGINT AS frames, coalesce(sum(n) FILTER (reason IS NULL),0)::BIGINT AS emitted, coalesce(string_agg(reason||'='||n, ',' ORDER BY reason) FILTER (reason IS NOT NULL),'') AS counts FROM rl GROUP BY 1,2 HAVING sum(n)=25""")
+@query("st_rollup", f"[w] AND RECURSIVE_ {_SC}, {_ROLLED} SELECT * FROM rolled")
 def st_rollup(spark, d):
-    return run_to_end(_streamed_outcomes(spark, d), live.rollup_stream, FILES_PER_TRIGGER, ["row_no"]).drop("session")
+    """Policy and rollup as two operators of one stream."""
+    return run_to_end(_scored_feed(spark, d), lambda s: live.rollup_stream(live.editorial_stream(s, 0.4)), operators=2)
+
+
+#: frames accepted, windows and context as in the queries above; a frame's score is where the ball is; match 3 has no model
+_ENGINE = f"""{_DEG}, {_NEWEST}, seen AS (SELECT i.*, vr.sequence, vr.invalid_reason FROM ins i JOIN vr ON vr.match_id=i.match_id AND vr.frame=i.frame), {_ENTRIES},
+    sc AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame) AS row_no, possession_team AS team, coalesce((ball_x+52.5::DOUBLE)/105::DOUBLE,0) AS probability FROM hs WHERE possession_team IS NOT NULL),
+    s1 AS (SELECT *, CASE WHEN invalid_reason IS NOT NULL THEN invalid_reason WHEN match_id=3 THEN 'model_unavailable' WHEN is_dead_ball THEN 'dead_ball' WHEN inside THEN 'already_in_box' WHEN probability<0.4::DOUBLE THEN 'low_confidence' END AS r0,
+      CASE WHEN entries>=2 AND possession_duration_s>=8 THEN 'sustained_pressure' WHEN probability>=0.4::DOUBLE+0.6::DOUBLE*0.45::DOUBLE THEN 'elevated_entry_chance' ELSE 'building_threat' END AS kd FROM sc),
+    {_POLICY}"""
+
+
+def _timeline(spark, d, replays: int):
+    """The feed played ``replays`` times, each time but the first after a reset row; sequence numbers go on."""
+    score = F.coalesce((F.col("ball_x") + 52.5) / 105.0, F.lit(0.0)).alias("probability")
+    frames = _with_signs(spark, _arrivals(spark, d, ("time_s", "ball_x", "ball_y", score)))
+    once = stage(frames.unionByName(_events(spark, d).withColumn("control", F.lit(None).cast("string")).withColumn("sequence", F.lit(-1).cast("bigint")), allowMissingColumns=True))
+    ends = once.groupBy("match_id").agg(F.max("sequence").alias("n"))
+    span = once.agg(F.max("at_ms")).first()[0] or 0
+    length = span - _START_MS + 10_000
+    again = once.join(ends, "match_id").withColumn("replay", F.explode(F.sequence(F.lit(0), F.lit(replays - 1))))
+    rows = again.withColumn("at_ms", F.col("at_ms") + F.col("replay") * length).withColumn("sequence", F.col("sequence") + F.col("replay") * (F.col("n") + 2))
+    resets = ends.withColumn("replay", F.explode(F.sequence(F.lit(1), F.lit(replays - 1)))).select(
+        "match_id", (F.lit(_START_MS - 5_000) + F.col("replay") * length).cast("bigint").alias("at_ms"), F.lit("reset").alias("control"), (F.col("replay") * (F.col("n") + 2) - 1).alias("sequence"),
+        F.lit(0).cast("bigint").alias("frame"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("seq"))
+    return rows.drop("n", "replay").unionByName(resets, allowMissingColumns=True)
+
+
+_CARRIED = "period int, time_s double, ball_x double, ball_y double, home_sign int, away_sign int, kind int, seq bigint, team string, type string, end_frame bigint, probability double"
+
+
+def engine(timeline, models):
+    """Intake, context, model table and policy as one stream of three stateful operators."""
+    taken = live.ingest_stream(timeline, _CARRIED)
+    taken = taken.filter(F.col("accepted") | F.col("control").isNotNull())
+    context = live.context_stream(taken, "sequence bigint, time_s double, probability double, window_valid boolean, invalid_reason string")
+    scored = live.with_models(context, models).withColumn("row_no", F.col("sequence")).withColumn("is_dead_ball", F.col("is_dead_ball").cast("double")).withColumn("ball_in_box", F.col("in_box").cast("double"))
+    return live.editorial_stream(scored, 0.4)
+
+
+def _models(spark):
+    return spark.createDataFrame([(m, f"model-{m}") for m in range(3)], "match_id bigint, model string")
+
+
+@query("st_engine", f"""[ins frames] AND RECURSIVE_ {_ENGINE}, last AS (SELECT match_id, max(sequence) AS n FROM ds GROUP BY 1)
+    SELECT oc.match_id, sequence + replay*(n+2) AS sequence, kind, oc.reason, oc.reason IS NULL AS emitted FROM oc JOIN sc USING (match_id, row_no) JOIN last USING (match_id), range(2) t(replay)""")
+def st_engine(spark, d):
+    """A late and incomplete feed, played twice with a reset between: both give what the batch gives once."""
+    out = run_to_end(_shuffled(_timeline(spark, d, 2)), lambda s: engine(s, _models(spark)), operators=3)
+    return out.select("match_id", F.col("row_no").alias("sequence"), "kind", "reason", "emitted")
+
+
+@query("st_metrics", f"""[frames] AND {_DEG}, {_NEWEST} SELECT count(*) AS frames, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS out_of_order,
+    sum(CASE WHEN accepted THEN coalesce(ok.frame-newest-1,0) ELSE 0 END)::BIGINT AS missing_frames, count(*) FILTER (invalid_reason IS NOT NULL) AS invalid_windows FROM ok LEFT JOIN vr USING (match_id, sequence)""")
+def st_metrics(spark, d):
+    """Sums of the counters that the listener kept, a row a micro-batch."""
+    feed = _shuffled(_arrivals(spark, d))
+    table = with_metrics(spark, "intake", lambda: run_to_end(feed, lambda s: live.observed(live.ingest_stream(s), "intake")))
+    names = ("frames", "accepted", "out_of_order", "missing_frames", "invalid_windows")
+    return table.read(", ".join(f"{n} bigint" for n in names)).agg(*[F.sum(n).alias(n) for n in names])
+
+
+@query("st_messages", f"""[w] AND RECURSIVE_ {_SC}, {_ROLLED} SELECT 'insight' AS type, match_id, count(*) AS n, min(row_no) AS first_no, max(row_no) AS last_no FROM oc WHERE reason IS NULL GROUP BY 2
+    UNION ALL SELECT 'suppressed', match_id, count(*), min(row_no), max(row_no) FROM oc WHERE reason IS NOT NULL GROUP BY 2""")
+def st_messages(spark, d):
+    """Outcomes as messages, a table a type; every batch is written twice and is there once."""
+    path = _path(spark)
+    write = route_messages(path, ("insight", "suppressed"))
+
+    def twice(batch, batch_id):
+        typed = batch.filter("control IS NULL").withColumn("type", F.when(F.col("emitted"), "insight").otherwise("suppressed"))
+        write(typed, batch_id)
+        write(typed, batch_id)
+
+    run_to_end(_scored_feed(spark, d), lambda s: live.editorial_stream(s, 0.4), sink=twice)
+    count = lambda kind: spark.read.parquet(f"{path}/{kind}").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_no"), F.max("row_no").alias("last_no")).select(
+        F.lit(kind).alias("type"), "match_id", "n", "first_no", "last_no")
+    return count("insight").unionByName(count("suppressed"))
 
 
 # --- models -----------------------------------------------------------------------------

@@ -137,3 +137,40 @@ def test_exact_quantiles(spark):
 def test_halo_must_fit(spark):
     with pytest.raises(ValueError):
         segments.with_halo(spark.range(3), "id", 4, 5)
+
+
+def test_slices_of_heavy_tails_are_balanced(spark):
+    import random
+
+    from touchline.plans import slices
+
+    r = random.Random(2)
+    rows = [(k, float(r.lognormvariate(0, 4)), i) for k in (0, 1) for i in range(8000)] + [(0, 1.0, 10_000 + i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, v double, i long")
+    cut = slices.sliced(df, ["k"], "v", "s", tie="i", tie_width=100, slices=64).cache()
+    for k in (0, 1):
+        sizes = [x["count"] for x in cut.filter(f"k = {k}").groupBy("s", "s_tie").count().collect()]
+        assert max(sizes) <= 4 * sum(sizes) / 64
+        last = [x["s"] for x in cut.filter(f"k = {k}").orderBy("v").collect()]
+        assert last == sorted(last)  # slices keep the order of the values
+    # equal-width slices of the same values
+    assert max(x["count"] for x in df.filter("k = 1").groupBy(F.floor(F.col("v") / df.agg(F.max("v")).first()[0] * 64)).count().collect()) > 4 * 8000 / 64
+
+
+def test_quantiles_and_ranks_of_heavy_tails(spark):
+    import random
+
+    import numpy as np
+
+    from touchline.operators.evaluation import ranks
+    from touchline.plans.quantiles import exact_quantiles
+
+    r = random.Random(3)
+    rows = [(k, r.choice([1.0, -0.0, 0.0, 5e-324, float(r.lognormvariate(0, 5))]), i) for k in (0, 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, v double, i long")
+    for x in exact_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect():
+        assert np.allclose(x["quantiles"], np.quantile([v for k, v, _ in rows if k == x["k"]], [0.0, 0.1, 0.5, 0.99, 1.0]), rtol=1e-12)
+    got = {(x["k"], x["i"]): x["n"] for x in ranks(df, ["k"], {"n": "v"}, ["i"]).collect()}
+    for k in (0, 1):
+        order = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))
+        assert [got[k, x[2]] for x in order] == list(range(1, 3001))

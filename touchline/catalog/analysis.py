@@ -346,12 +346,8 @@ def join_score_parity(spark, d):
 
 @query("win_rank_change", f"[w] AND {_PAR} SELECT match_id, row_no, abs(ra-rb) AS rank_change FROM rk")
 def win_rank_change(spark, d):
-    from touchline.plans import segments
-
-    w = stage(S.windows(spark, d).selectExpr("match_id", "row_no", "probability AS a", "probability * 0.999D + (row_no % 7) * 1e-5D AS b").selectExpr(
-        "*", "floor(a * 1024) AS sa", "floor(b * 1024) AS sb"))
-    r = segments.number_rows(w, ["match_id"], ["sa"], ["a", "row_no"], name="ra")
-    r = segments.number_rows(r, ["match_id"], ["sb"], ["b", "row_no"], name="rb")
+    w = stage(S.windows(spark, d).selectExpr("match_id", "row_no", "probability AS a", "probability * 0.999D + (row_no % 7) * 1e-5D AS b"))
+    r = evaluation.ranks(w, ["match_id"], {"ra": "a", "rb": "b"}, ["row_no"])
     return r.select("match_id", "row_no", F.abs(F.col("ra") - F.col("rb")).alias("rank_change"))
 
 

@@ -16,6 +16,7 @@ from touchline import constants as C
 from touchline.plans import segments
 from touchline.plans.quantiles import exact_quantiles
 from touchline.plans.segments import SEG
+from touchline.plans.slices import sliced
 from touchline.session import stage
 
 MATCH = ("match_id",)
@@ -58,16 +59,15 @@ def window_metrics(predictions: DataFrame, threshold, keys: Sequence[str] = MATC
 def average_precision(predictions: DataFrame, keys: Sequence[str] = MATCH, weight: Column | None = None) -> DataFrame:
     """Step-wise average precision over distinct scores; NULL unless both classes occur.
 
-    Rows are first reduced to one per distinct score. Distinct scores are then cut into segments of
-    the score axis, so not even those of a hot key meet in one task.
+    Rows are first reduced to one per distinct score. Distinct scores are then cut into slices of about as many
+    each, so not even those of a hot key meet in one task.
     """
     w = weight if weight is not None else F.lit(1)
     scores = predictions.groupBy(*keys, "probability").agg(
         F.sum(F.when(F.col("label") == 1, w).otherwise(0)).cast("bigint").alias("_tp"),
         F.sum(w).cast("bigint").alias("_n"),
     )
-    placed = scores.withColumn("_down", -F.col("probability")).withColumn(
-        SEG, segments.segment_of(F.col("_down"), 1.0 / 1024))
+    placed = sliced(scores.withColumn("_down", -F.col("probability")), keys, "_down", SEG)
     ranked = segments.running_sum(placed, list(keys), ["_down"], {"_ctp": F.col("_tp"), "_cn": F.col("_n")})
     out = ranked.groupBy(*keys).agg(
         F.sum(F.col("_tp") * F.col("_ctp") / F.col("_cn")).alias("_area"),
@@ -404,12 +404,20 @@ def lomo_summary(fold_metrics: DataFrame) -> DataFrame:
     )
 
 
+def ranks(df: DataFrame, keys: Sequence[str], names: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """Adds dense ranks per key: for each name that of a value column, ties by ``order``, whose first column is a number."""
+    for name, value in names.items():
+        cut = sliced(df, keys, value, "_slice", tie=order[0])
+        df = segments.number_rows(cut, list(keys), ["_slice", "_slice_tie"], [value, *order], name=name).drop("_slice", "_slice_tie")
+    return df
+
+
 def score_parity(left: DataFrame, right: DataFrame, on: Sequence[str], keys: Sequence[str] = (), tolerance: float = C.PARITY_TOLERANCE) -> DataFrame:
     """Two score sets compared row by row: differences and the largest change of rank."""
     both = left.select(*on, F.col("probability").alias("_a")).join(right.select(*on, F.col("probability").alias("_b")), list(on))
-    both = stage(both.withColumn("_sa", segments.segment_of(F.col("_a"), 1 / 1024)).withColumn("_sb", segments.segment_of(F.col("_b"), 1 / 1024)))
-    ranked = segments.number_rows(both, list(keys), ["_sa"], ["_a", *on], name="_ra")
-    ranked = segments.number_rows(ranked, list(keys), ["_sb"], ["_b", *on], name="_rb")
+    rest = [c for c in on if c not in keys]
+    # many rows of one score are cut by the column that orders them next
+    ranked = ranks(stage(both), keys, {"_ra": "_a", "_rb": "_b"}, rest)
     diff = F.abs(F.col("_a") - F.col("_b"))
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"), F.max(diff).alias("max_abs_diff"), F.avg(diff).alias("mean_abs_diff"),

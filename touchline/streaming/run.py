@@ -11,14 +11,14 @@ from pyspark.sql.streaming import StreamingQueryListener
 from touchline.session import stage_dir
 from touchline.streaming.ordered import BLOCK_MS, HEARTBEAT, timed
 
-#: files of a micro-batch
-FILES_PER_TRIGGER = 8
+#: input of a micro-batch; a key takes it an Arrow batch at a time, so it bounds the state written at once, not memory
+BYTES_PER_TRIGGER = 256 << 20
 #: the state store that ``transformWithState`` needs
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEY, _PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
-def run_to_end(source: DataFrame, transform, delay_ms: int | None = None, operators: int = 1, files_per_trigger: int = FILES_PER_TRIGGER, sink=None) -> DataFrame:
+def run_to_end(source: DataFrame, transform, delay_ms: int | None = None, operators: int = 1, files_per_trigger: int | None = None, sink=None) -> DataFrame:
     """Write ``source`` (with ``at_ms``), stream its files in whatever order they are listed through ``transform``, return what came out.
 
     Rows may lag ``delay_ms`` behind the newest; the default is the table's whole span, so that no order of its files is too late
@@ -32,7 +32,8 @@ def run_to_end(source: DataFrame, transform, delay_ms: int | None = None, operat
     match, first, last, matches = written.agg(F.min("match_id"), F.min("at_ms"), F.max("at_ms"), F.approx_count_distinct("match_id")).first()
     first, last = first or 0, last or 0
     delay_ms = last - first + 1 if delay_ms is None else delay_ms
-    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{base}/in")
+    most = ("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+    stream = spark.readStream.schema(written.schema).option(*most).parquet(f"{base}/in")
     out = transform(timed(stream, F.col("at_ms"), f"{delay_ms} milliseconds"))
     # a partition of state more than there are matches is opened and closed each batch for nothing
     partitions = min(int(spark.conf.get(_PARTITIONS)), max(1, matches))

@@ -344,3 +344,63 @@ def test_language(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in rows)
     none = language.fit(train.filter("false"), ())
     assert {r["lang_pred"] for r in language.predict(docs, none, ["doc_id"]).collect()} == {"und"}
+
+
+def test_repeated_rows_come_out_as_often_as_they_went_in(spark, tmp_path):
+    item = " ".join(f"t{i}" for i in range(20))
+    rows = [(1, item), (1, item), (1, "other words"), (None, item), (None, item), (2, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = winnow.decontaminate(docs, spark.createDataFrame([("a", item)], "item_id string, text string"))
+    assert sorted(map(str, got.select("doc_id", "n_words", "n_hit").collect())) == sorted(map(str, [
+        r for r in spark.createDataFrame([(1, 20, 20), (1, 20, 20), (1, 2, 0), (None, 20, 20), (None, 20, 20), (2, 0, 0), (2, 0, 0)], "doc_id long, n_words long, n_hit long").collect()]))
+    # one response a payload, whatever is repeated
+    page = "<p>" + "x" * 200 + "</p>"
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "v", page), (1, "w", page), (3, "u", "small"), (3, "u", "small"), (None, None, page + "2"), (None, None, page + "2")], "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    archive = warc.Archive(spark, path).write(pages)
+    got = warc.parsed(archive.read())
+    assert got.count() == 8
+    assert sorted((r["payload_digest"], r["n"]) for r in got.filter("record_type = 'response'").groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n")).collect()) == sorted(
+        [(sha(page), 1), (sha(page + "2"), 1), (sha("small"), 2)])
+    assert {r["refers_to"] for r in got.filter("record_type = 'revisit'").collect()} == {1, None}
+    # another object finds the archive by its path alone
+    assert sorted(map(str, warc.Archive(spark, path).read().collect())) == sorted(map(str, archive.read().collect()))
+    assert all(b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in bytes(r["header"]) for r in archive.read().collect())
+    assert warc.Archive(spark).write(pages.limit(0)).read().count() == 0
+
+
+def test_jaccard_rows_of_one_id_are_one_node(spark):
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, x), (5, x), (5, y), (9, y), (7, "alone here"), (None, x)], "doc_id long, text string")
+    got = jaccard.jaccard_components(docs).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, 3), (5, 3), (5, 3), (9, 3), (7, 7), (None, None)], key=str)
+
+
+def test_jaccard_bitmaps_never_hide_a_link():
+    r = random.Random(12)
+    for n in (40, 700, 5000, 30_000):
+        for near in (0.81, 0.9, 0.7, 0.3):
+            x = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+            keep = x[:int(n * near)]
+            y = np.concatenate([keep, np.array([r.getrandbits(64) for _ in range(n // 20)], np.uint64)])
+            wide = lambda s: jaccard._parity(s, max(jaccard.BITS, 1 << (2 * len(s) - 1).bit_length()))
+            apart, true = jaccard._apart(wide(x), wide(y)), len(np.setxor1d(x, y))
+            assert apart <= true and apart == jaccard._apart(wide(y), wide(x))
+            assert apart > true // 2 or n < 700 or near < 0.5  # and tells long sets of like size apart
+
+
+def test_language_counts_stay_inside_texts(spark):
+    r = random.Random(2)
+    rows = [("".join(r.choice("abcdé XY") for _ in range(r.choice([0, 1, 2, 30]))), r.choice(["a", "b"])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    one, many = (language.fit(docs.repartition(k), ("a", "b")) for k in (1, 7))
+    assert np.array_equal(one.log_prob, many.log_prob) and np.array_equal(one.prior, many.prior)
+    # against plain counts
+    counts = np.full((len(one.log_prob), 2), 0.5)
+    for t, x in rows:
+        for i in range(len(t)):
+            for n in (1, 2, 3):
+                if i + n <= len(t):
+                    gram = language._grams([t[i:i + n]], len(counts))[0][n - 1][0]
+                    counts[gram, "ab".index(x)] += 1
+    assert np.allclose(one.log_prob, np.log(counts / counts.sum(0)), atol=1e-5)

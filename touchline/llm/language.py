@@ -71,8 +71,13 @@ def fit(docs: DataFrame, labels: tuple[str, ...], text: str = "text", lang: str
             for i, texts in by.items():
                 total[width + i] += len(texts)
                 for a, b in _batches(texts):
-                    for g in _grams(texts[a:b], buckets)[0]:
-                        total[i * buckets:(i + 1) * buckets] += np.bincount(g, minlength=buckets)
+                    grams, last = _grams(texts[a:b], buckets)
+                    for n, g in enumerate(grams):
+                        # not those that reach over a text's end, so that counts do not depend on a text's neighbours
+                        own = np.ones(len(g) + n, bool)
+                        for back in range(n + 1):
+                            own[np.maximum(last - 1 - back, 0)] = False
+                        total[i * buckets:(i + 1) * buckets] += np.bincount(g[own[:len(g)]], minlength=buckets)
         return total
 
     total = summed(docs.select(text, lang), count, width + 16 * len(labels))

@@ -11,7 +11,7 @@ joined by shuffle beyond it. Items of under 8 words have no fingerprint; their w
 of every document, a pass for each such length that occurs.
 
 Defined cases: null, empty and wordless texts have no words, no hits and are clean; an item without words is
-no window; equal items each count; rows with one id are judged each by its own text; a null
+no window; equal items each count; rows with one id are judged each by its own text, rows with one id and text are rows each; a null
 id is kept; without items every document is clean; further columns are left out.
 """
 
@@ -93,11 +93,14 @@ def decontaminate(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", tex
 
     rows = docs.select(row_key(doc_id, text).alias("rk"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    prints = _minima(_hashed(rows)).select("rk", "doc_id", "n_words", F.explode_outer(F.array_distinct("fp")).alias("fp"))
+    prints = _minima(_hashed(rows)).select("rk", "doc_id", "n_words", F.posexplode_outer(F.array_distinct("fp")).alias("at", "fp"))
     # the rows of a document come one after another, so they are one row before the shuffle
-    seen = stage(_met(prints, marks, ["fp"], "left").groupBy("rk", "doc_id", "n_words").agg(F.max("met").alias("met")))
+    seen = stage(_met(prints, marks, ["fp"], "left").groupBy("rk", "doc_id", "n_words").agg(
+        F.max("met").alias("met"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("rows")))
+    # a row that is repeated in the table was judged once and comes out as often as it went in
+    each = F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))
     if windows is None:
-        return seen.select("rk", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return seen.withColumn("_row", each).select("rk", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     windows = stage(windows.distinct())
 
     wanted = seen.filter("met = 1").select("rk").distinct()
@@ -119,7 +122,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", tex
     covered = hits.select("rk", "len", "place").distinct().select("rk", F.explode(F.sequence("place", F.col("place") + F.col("len") - 1)).alias("word")).distinct()
     n_hit = covered.groupBy("rk").agg(F.count(F.lit(1)).alias("n_hit"))
     found = hits.select("rk", "item").distinct().groupBy("rk").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = seen.join(n_hit.join(found, "rk"), "rk", "left")
+    out = seen.join(n_hit.join(found, "rk"), "rk", "left").withColumn("_row", each)
     return out.select("rk", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -36,7 +36,7 @@ from touchline.session import stage
 
 #: counters of the frequency order; its size on the driver and executors, whatever the data's
 COUNTERS = 1 << 18
-#: bits of the parity bitmap
+#: bits of the parity bitmap that lists are compared by; the one that pairs are compared by has two bits a shingle at least
 BITS = 1024
 #: ids of candidates that are broadcast; more are joined by shuffle
 BROADCAST_IDS = 2_000_000
@@ -80,26 +80,42 @@ def _grouped(sets, most: int = 1 << 18):
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, n: int, rank: np.ndarray) -> DataFrame:
-    """id, size, cls, pkey, prefix (in order), bits of each row; an empty set has a null class."""
+    """id, size, cls, pkey, prefix (in order), bits, wide of each row; an empty set has a null class, a short one no wide bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def describe(batches):
         for batch in batches:
             low = shared.value
-            size, cls, pkey, prefix, bits = [], [], [], [], []
+            size, cls, pkey, prefix, bits, wide = [], [], [], [], [], []
             for s in shingle_sets(words.encoded(batch[1]), n):
                 size.append(len(s))
                 rare = np.argsort(low[(s & np.uint64(len(low) - 1)).astype(np.int64)], kind="stable")[:len(s) // 5 + 1]
                 first = s[rare].tobytes()
-                odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
                 cls.append(_mark(s.tobytes()) if len(s) else None)
                 pkey.append(_mark(first) if len(s) else None)
                 prefix.append(first if len(s) else None)
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(pkey, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
-                                             names=["id", "size", "cls", "pkey", "prefix", "bits"])
+                bits.append(_parity(s, BITS) if len(s) else None)
+                wide.append(_parity(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > BITS else None)
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(pkey, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
+                                             names=["id", "size", "cls", "pkey", "prefix", "bits", "wide"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(describe, "id long, size long, cls long, pkey long, prefix binary, bits binary")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(describe, "id long, size long, cls long, pkey long, prefix binary, bits binary, wide binary")
+
+
+def _parity(s: np.ndarray, bits: int) -> bytes:
+    """Whether an odd number of shingles has each of the ``bits`` values of the leading hash bits."""
+    odd = np.bincount((s >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only; the longer bitmap is folded to the length of the other."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.packbits(np.bitwise_xor.reduce(np.unpackbits(y).reshape(len(x) * 8, -1), axis=1))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def _mark(data: bytes) -> int:
@@ -144,15 +160,13 @@ def _shared_tokens(groups: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs of classes whose bitmaps leave 100 * intersection >= 80 * union possible."""
-    both = pairs.join(bits.toDF("a", "bits_a", "size_a"), "a").join(bits.toDF("b", "bits_b", "size_b"), "b")
+    whole = bits.select("rep", F.coalesce("wide", "bits"), "size")
+    both = pairs.join(whole.toDF("a", "bits_a", "size_a"), "a").join(whole.toDF("b", "bits_b", "size_b"), "b")
 
     def keep(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch[i].to_pylist()), np.uint8).reshape(-1, BITS // 8) for i in (2, 3))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                # at least ``apart`` shingles are in one of the two sets only
-                yield pa.RecordBatch.from_arrays([batch[0], batch[1]], names=["a", "b"]).filter(pa.array(9 * apart <= batch[4].to_numpy() + batch[5].to_numpy()))
+            apart = [_apart(x, y) for x, y in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1]], names=["a", "b"]).filter(pa.array(9 * np.array(apart, np.int64) <= batch[4].to_numpy() + batch[5].to_numpy(), pa.bool_()))
 
     return both.select("a", "b", "bits_a", "bits_b", "size_a", "size_b").mapInArrow(keep, "a long, b long").distinct()
 
@@ -252,8 +266,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     reps = described.filter("cls is not null and id is not null").groupBy("cls", "size", "pkey").agg(F.min("id").alias("rep"))
     low = reps.groupBy("size", "pkey").agg(F.min("rep").alias("gid"))
     members = stage(reps.join(low, ["size", "pkey"]).select("gid", "cls", "rep", "size"))
-    own = described.select("id", "cls", "size", "prefix", "bits").join(_small(members.select("cls", F.col("rep").alias("id"), "gid")), ["cls", "id"])
-    bits = own.select(F.col("id").alias("rep"), "bits", "size")
+    own = described.select("id", "cls", "size", "prefix", "bits", "wide").join(_small(members.select("cls", F.col("rep").alias("id"), "gid")), ["cls", "id"])
+    bits = own.select(F.col("id").alias("rep"), "bits", "wide", "size")
     tokens = stage(_shared_tokens(own.filter("gid = id")))
 
     inner = members.filter("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
@@ -270,10 +284,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # groups of several members are lists as well
     several = members.groupBy("gid", "size").count().filter("count > 1")
     lists = tokens.unionByName(several.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", "size", F.lit(True).alias("first")))
-    rest = stage(_across(lists, members, bits, known).join(tested, ["a", "b"], "left_anti"))
+    rest = stage(_near(_across(lists, members, bits, known).join(tested, ["a", "b"], "left_anti"), bits))
     if not rest.isEmpty():
         known = stage(components(_verified(rest, docs, doc_id, text, n), known))
 
+    # an id with several texts is one node: it links their classes
+    twice = described.filter("cls is not null and id is not null").groupBy("id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("id")
+    if not twice.isEmpty():
+        own = described.filter("cls is not null").join(twice, "id").select("id", "cls").distinct().join(members.select("cls", "rep"), "cls")
+        links = own.join(own.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
+        known = stage(components(links, known))
     of_class = members.join(known, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("id", "size", "cls").join(of_class, "cls", "left")
     return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

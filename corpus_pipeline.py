@@ -2,6 +2,10 @@
 
 Every stage returns the columns of ``documents``, the last one the packed pieces. Between stages the rows are
 written as Parquet in the shared folder and read again.
+
+Defined cases: a null, empty or letterless text has no language and goes in the first stage; of rows that repeat an id, and of
+equal texts without an id, one stays; texts without an id are else kept, lose nothing and are packed; very long texts are kept
+whole; an empty table gives no piece; further columns are left out.
 """
 
 from __future__ import annotations
@@ -26,10 +30,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group."""
+    """The document of the smallest id stays of each group; of rows that repeat an id, or a text without one, the one of the first text."""
     groups = jaccard.jaccard_components(docs)
     others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    # a null id is known by its text
+    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))))
+    again = stage(keyed.groupBy("key").count().filter("count > 1").select("key"))
+    kept = keyed.join(others, "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    first = kept.join(again, "key").groupBy("key").agg(F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("row"))
+    return kept.join(again, "key", "left_anti").select(*COLUMNS).unionByName(first.select("row.*").select(*COLUMNS))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import os
 import time
 
-from touchline.catalog import analysis, core, live  # noqa: F401
+from touchline.catalog import analysis, composite, core, live  # noqa: F401
 from touchline.catalog.registry import QUERIES
 from touchline.session import local_session
 

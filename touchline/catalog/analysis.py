@@ -11,16 +11,16 @@ from touchline.sources import star_tables as S
 
 # --- quality ----------------------------------------------------------------------------
 
-#: an imperfect arrival stream: frames without a ball missing, every 40th twice, every 60th stepping back
+#: an imperfect arrival stream: every 40th frame twice, every 60th stepping back
 _ARRIVALS_SQL = """AND ar AS (SELECT match_id, period, CASE WHEN frame % 60 = 0 THEN frame-7 ELSE frame END AS frame, time_s,
-  row_number() OVER (PARTITION BY match_id ORDER BY frame, c) AS row_no FROM frames, range(2) t(c) WHERE ball_x IS NOT NULL AND (c = 0 OR frame % 40 = 0)),
+  row_number() OVER (PARTITION BY match_id ORDER BY frame, c) AS row_no FROM frames, range(2) t(c) WHERE c = 0 OR frame % 40 = 0),
 dl AS (SELECT match_id, period, CASE WHEN lag(period) OVER w = period THEN frame-lag(frame) OVER w END AS d FROM ar WINDOW w AS (PARTITION BY match_id ORDER BY row_no))"""
 
 
 def _arrivals(spark, d):
     from touchline.plans import segments
 
-    f = S.frames(spark, d).filter("ball_x IS NOT NULL").withColumn(
+    f = S.frames(spark, d).withColumn(
         "c", F.explode(F.expr("CASE WHEN frame % 40 = 0 THEN array(0, 1) ELSE array(0) END"))).withColumn("_b", F.expr("floor(frame / 16384)"))
     n = segments.number_rows(f.drop("row_no"), ["match_id"], ["_b"], ["frame", "c"], name="row_no")
     return n.withColumn("frame", F.expr("CASE WHEN frame % 60 = 0 THEN frame - 7 ELSE frame END")).drop("c", "_b")
@@ -524,7 +524,7 @@ def win_monotone_filter(spark, d):
     return degrade.accept_frames(_degraded(spark, d)).select("match_id", "sequence", "accepted", "missing")
 
 
-@query("downsample", """[frames] AND kp AS (SELECT * FROM frames WHERE ball_x IS NOT NULL), st AS (SELECT *, round(time_s*1000000)::BIGINT AS us, min(round(time_s*1000000)::BIGINT) OVER (PARTITION BY match_id, period) AS t0 FROM kp),
+@query("downsample", """[frames] AND kp AS (SELECT * FROM frames), st AS (SELECT *, round(time_s*1000000)::BIGINT AS us, min(round(time_s*1000000)::BIGINT) OVER (PARTITION BY match_id, period) AS t0 FROM kp),
     sl2 AS (SELECT match_id, period, (us-t0)//50000 AS slot, min(frame) AS frame FROM st GROUP BY 1,2,3) SELECT match_id, period, slot, frame, coalesce(slot-lag(slot) OVER (PARTITION BY match_id, period ORDER BY slot)-1, 0) AS skipped FROM sl2""")
 def downsample(spark, d):
-    return degrade.downsample(S.frames(spark, d).filter("ball_x IS NOT NULL")).select("match_id", "period", "slot", "frame", "skipped")
+    return degrade.downsample(S.frames(spark, d)).select("match_id", "period", "slot", "frame", "skipped")

@@ -492,15 +492,22 @@ def set_union_matches(spark, d):
     return windows.union_matches(parts).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"), F.sum("row_no").alias("places"))
 
 
-@query("chk_batch_contract", """SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'length' WHEN vec_id % 4 = 1 THEN 'width' WHEN vec_id % 4 = 2 THEN 'non_finite' END AS contract_error FROM embeddings""")
+#: rows of a window of embeddings; its faults follow the values: the first one's sign and size
+_ROWS = 4
+
+
+@query("chk_batch_contract", f"""SELECT vec_id, CASE WHEN v[1] > 0 AND v[2] > 0 THEN 'length' WHEN v[1] > 0 AND v[3] > 0 THEN 'width' WHEN v[1] > 0 THEN 'non_finite' END AS contract_error, len(v)//{_ROWS} AS width
+    FROM (SELECT vec_id, embedding AS v FROM embeddings)""")
 def chk_batch_contract(spark, d):
-    e = F.col("embedding")
-    row = F.slice(F.transform(e, lambda v: v), 1, 39)
-    full = F.array(row, row)
-    bad = F.when(F.col("vec_id") % 4 == 0, F.array(row)).when(F.col("vec_id") % 4 == 1, F.array(row, F.slice(row, 1, 38))).when(
-        F.col("vec_id") % 4 == 2, F.array(row, F.transform(row, lambda v: F.lit(float("nan")).cast("float")))).otherwise(full)
-    w = S.read(spark, d, "embeddings").select("vec_id", bad.alias("window"))
-    return windows.check_windows(w, length=2).select("vec_id", "contract_error")
+    """Whole vectors as windows of four rows; a row is taken, a value is taken or a value is broken where the vector says so."""
+    e = S.read(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] // _ROWS
+    rows = F.transform(F.sequence(F.lit(0), F.lit(_ROWS - 1)), lambda i: F.slice("embedding", i * width + 1, width))
+    v = lambda i: F.col("embedding")[i - 1] > 0
+    broken = F.concat(F.array(F.transform(rows[0], lambda x: F.lit(float("nan")).cast("float"))), F.slice(rows, 2, _ROWS - 1))
+    short = F.concat(F.array(F.slice(rows[0], 1, width - 1)), F.slice(rows, 2, _ROWS - 1))
+    window = F.when(v(1) & v(2), F.slice(rows, 1, _ROWS - 1)).when(v(1) & v(3), short).when(v(1), broken).otherwise(rows)
+    return windows.check_windows(e.select("vec_id", window.alias("window")), _ROWS, width).select("vec_id", "contract_error", F.lit(width).cast("long").alias("width"))
 
 
 @query("agg_standardiser", f"[w] SELECT 'probability' AS feature, round(avg(probability),6) AS mean, round(stddev_pop(probability),6) AS scale FROM w UNION ALL SELECT 'team', round(avg(team),6), round(stddev_pop(team),6) FROM w UNION ALL SELECT 'flat', 1.0::DOUBLE, 1.0::DOUBLE")

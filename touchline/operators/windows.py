@@ -1,8 +1,10 @@
 """Model windows: validity, subsampling, window rows, summaries."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,46 @@ def window_summary(rows: DataFrame, features: Sequence[str] = C.FEATURES, length
     return rows.groupBy(*SAMPLE).agg(*aggregates)
 
 
+def measured_windows(
+    features: DataFrame, samples: DataFrame, measure: Callable[[np.ndarray], dict[str, np.ndarray | list]], output: str,
+    observation: int = C.OBSERVATION_FRAMES, length: int = C.SEQUENCE_LENGTH, width: int = segments.SEGMENT_ROWS // 4,
+) -> DataFrame:
+    """Sample keys with what ``measure`` makes of the windows, an array (samples, steps, features) at a time.
+
+    Features are shuffled once, in blocks of a half that repeat the rows the next block looks back to; samples meet their block,
+    and their windows are gathered from it by place. A block holds ``width`` rows, a call of ``measure`` 512 windows.
+    """
+    back = observation - 1 - np.array(picks(observation, length))
+    keys = ["match_id", "period", "team", "_blk"]
+    blocks = segments.with_halo(features.withColumnRenamed("attacking_team", "team"), "period_row", width, observation - 1).select(*keys, "period_row", *C.FEATURES)
+    asked = samples.select(*SAMPLE, F.floor((F.col("period_row") - 1) / F.lit(width)).cast("bigint").alias("_blk"))
+
+    def gather(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("period_row", ignore_index=True)
+        at, x = rows["period_row"].to_numpy(), rows[list(C.FEATURES)].to_numpy(float)
+        out = []
+        for begin in range(0, len(wanted), 512):
+            part = wanted.iloc[begin:begin + 512]
+            places = part["period_row"].to_numpy()[:, None] - back
+            found = np.searchsorted(at, places)
+            whole = (at[np.minimum(found, len(at) - 1)] == places).all(axis=1) if len(at) else np.zeros(len(part), bool)
+            some = part[whole].drop(columns="_blk").reset_index(drop=True)
+            out.append(pd.concat([some, pd.DataFrame(measure(x[found[whole]]))], axis=1) if len(some) else some)
+        return pd.concat(out) if out else wanted.drop(columns="_blk")
+
+    types = {f.name: f.dataType.simpleString() for f in samples.schema}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in SAMPLE), output])
+    names = [c.split()[0] for c in schema.split(", ")]
+    met = blocks.groupBy(*keys).cogroup(asked.groupBy(*keys))
+    return met.applyInPandas(lambda rows, wanted: gather(rows, wanted).reindex(columns=names), schema)
+
+
+def summary_of(x: np.ndarray) -> dict[str, np.ndarray]:
+    """last, mean, population std and last minus first of every feature: see :func:`window_summary`."""
+    blocks = {"last": x[:, -1], "mean": x.mean(axis=1), "std": x.std(axis=1), "delta": x[:, -1] - x[:, 0]}
+    return {f"{name}__{f}": v[:, i] for name, v in blocks.items() for i, f in enumerate(C.FEATURES)}
+
+
 def check_windows(windows: DataFrame, length: int = C.SEQUENCE_LENGTH, width: int = len(C.FEATURES)) -> DataFrame:
     """Adds ``contract_error``: wrong shape, ragged or non-finite windows are named, not scored."""
     w = F.col("window")

@@ -404,3 +404,55 @@ def test_language_counts_stay_inside_texts(spark):
                     gram = language._grams([t[i:i + n]], len(counts))[0][n - 1][0]
                     counts[gram, "ab".index(x)] += 1
     assert np.allclose(one.log_prob, np.log(counts / counts.sum(0)), atol=1e-5)
+
+
+def test_next_row_of_hashed_and_hot_ids(spark, monkeypatch):
+    r = random.Random(4)
+    hashed = [r.getrandbits(64) - 2**63 for _ in range(300)]
+    for ids in (hashed, [None] * 120 + hashed[:50], [7] * 200 + list(range(100)), [5]):
+        rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        found = order_minhash.cuts_of(df.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("sid")), 16)
+        at = order_minhash.placed(df.withColumn("sid", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))), found, "text", 4, 16)
+        assert len(ids) < 100 or max(x["count"] for x in at.groupBy("slice", "part").count().collect()) <= 40
+        got = {x["text"]: x["next_text"] for x in order_minhash.with_next(df, "doc_id", "text", ["text"]).collect()}
+        keyed = {x["text"]: (x["doc_id"] if x["doc_id"] is not None else -(1 << 63), x["h"]) for x in df.withColumn("h", F.xxhash64("text")).collect()}
+        down = sorted(keyed, key=keyed.get, reverse=True)
+        assert got == {t: down[(k + 1) % len(down)] for k, t in enumerate(down)}
+    assert order_minhash.with_next(df.limit(0), "doc_id", "text", ["text"]).count() == 0
+
+
+def test_fingerprints_of_texts_without_spaces(spark):
+    r = random.Random(9)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(400))
+    df = spark.createDataFrame([(1, han), (0, han[:200] + "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(5)) + han[205:])], "doc_id long, text string")
+    assert order_minhash.fingerprints(df).filter("doc_id = 1").first()["near_next"] > 0.8
+
+
+def test_html_in_linear_time():
+    import time
+
+    from touchline.llm.html_blocks import blocks
+
+    start = time.perf_counter()
+    for page in ("<a " * 350_000, "<!--x-->" + "<a " * 350_000, "<div>x" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<a '>" * 100_000, "<!--" * 100_000):
+        blocks(page)
+    assert time.perf_counter() - start < 12
+    assert [b.text for b in blocks("<p>a<!-- b <p>c")] == ["a"] and [b.text for b in blocks("<p>a<!-->b-->c<a ")] == ["ac"]
+
+
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 9):
+        field = main_text.Field({str(i): i for i in range(6)}, r.normal(size=(6, 2)), r.normal(size=(2, 2)))
+        page = [[str(x) for x in r.choice(6, 2, replace=False)] for _ in range(n)]
+        emit = [sum(field.emit[int(x)] for x in f) for f in page]
+        best = max(itertools.product((0, 1), repeat=n), key=lambda y: sum(e[k] for e, k in zip(emit, y, strict=True)) + sum(field.step[a, b] for a, b in itertools.pairwise(y)))
+        assert field.decode(page) == list(best)
+    assert field.decode([]) == []
+
+
+def test_main_text_of_an_empty_table(spark):
+    assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id", "url"]).count() == 0

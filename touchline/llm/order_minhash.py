@@ -1,24 +1,36 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
-The k-mers of a text are its pairs of neighbouring words, each numbered by its occurrence in the text. K-mer and number
+The k-mers of a text are its pairs of neighbouring words (code points where there are no spaces), each numbered by its occurrence in the text. K-mer and number
 are hashed together and fall into one of 64 classes by that hash; in each class the two smallest are kept, put back
 in text order and hashed as a tuple. Moving, inserting or changing text changes tuples in
 proportion to the edit distance, and swapping two parts changes them too, which a plain MinHash does not see.
 K-mers are told apart by the upper 40 bits of their hash; the place of an occurrence only restores text order.
 
 Defined cases: null is empty; an empty text is one empty word; a text of one word has that word as its k-mer; equal
-texts have equal fingerprints; ties of ``doc_id`` are ordered by text; a null id sorts as the smallest; the only row of a table is its own next; further columns are left out.
+texts have equal fingerprints; ties of ``doc_id`` are ordered by the texts' hashes; a null id sorts as the smallest; the only row of a table is its own next; further columns are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from touchline.plans.slices import SLICES, sketch, slice_of
+from touchline.session import stage
+
 #: bits of a k-mer's class; low bits of a packed k-mer that hold its place
 CLASS_BITS, PLACE_BITS = 6, 24
-#: low bits of an id that are left out of its bucket, and of a bucket that are left out of its group
-BUCKET_BITS, GROUP_BITS = 8, 10
+#: code points of the longest word
+LONG = 24
+#: rows of a bucket of ids
+BUCKET_ROWS = 1 << 10
+
+
+def units(text: str) -> Column:
+    """The words of a text, parted by spaces; one of over LONG code points, as a text without spaces is, counts as its code points."""
+    pieces = F.split(text, " ")
+    cut = F.flatten(F.transform(pieces, lambda w: F.when(F.char_length(w) > LONG, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
+    return F.when(F.col(text).rlike(f"[^ ]{{{LONG + 1}}}"), cut).otherwise(pieces)
 
 
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -32,7 +44,7 @@ def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def place(x: Column) -> Column:
         return x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
-    df = df.withColumn("_h", F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
+    df = df.withColumn("_h", F.transform(units(text), lambda w: F.xxhash64(w)))
     n = F.size("_h")
     pairs = F.zip_with(F.slice("_h", 1, n - 1), F.slice("_h", 2, n - 1), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("_k", F.when(n > 1, pairs).otherwise(F.col("_h")))
@@ -80,20 +92,48 @@ def likeness(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.size(a), F.size(b))
 
 
-def next_bucket(ids: DataFrame) -> DataFrame:
-    """``sid`` -> bucket, head (its largest id), to: the next larger bucket that has rows; the last one's is the first.
+def _hash_share(text: str) -> Column:
+    """0 to 1 by the hash of a text."""
+    return F.xxhash64(text).cast("double") / 18446744073709551616.0 + 0.5
+
 
-    Three levels of grouping keep each window to 2^10 rows; the last has one row for 2^28 ids.
+def cuts_of(ids: DataFrame, slices: int = SLICES) -> Row:
+    """Quantiles of ``sid``, its least and greatest value and the number of rows; taken once, as a sketch depends on the order of its rows."""
+    return ids.agg(sketch("sid", slices).alias("cuts"), F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("n")).first()
+
+
+def placed(rows: DataFrame, found: Row, text: str, most: int = BUCKET_ROWS, slices: int = SLICES) -> DataFrame:
+    """``rows`` (of ``sid``) with ``slice`` and ``part``, which follow the order of ids and hold about ``most`` rows together.
+
+    Slices lie between quantiles of the ids, whatever ids there are; an id that is a quantile itself, as one of many rows is, has a
+    slice of its own. A slice has parts: by the id's place between the quantiles, or by the text's hash where the id is one.
+    """
+    cuts = F.array(*[F.lit(c).cast("long") for c in found["cuts"] or [0]])
+    low, high, n = found["low"] or 0, found["high"] or 0, found["n"]
+    # a slice between two quantiles has a share of the rows, one id may have all
+    parts = F.when(F.col("slice") % 2 == 0, F.lit(max(1, -(-n // most)))).otherwise(F.lit(max(1, -(-n // (slices * most)))))
+    out = rows.withColumn("slice", slice_of(F.col("sid"), cuts, slices))
+    # an odd slice 2 i + 1 lies between cut i - 1 and cut i
+    i = F.floor(F.col("slice") / 2).cast("int")
+    begin = F.coalesce(F.get(cuts, i - 1), F.lit(low)).cast("double")
+    end = F.coalesce(F.get(cuts, i), F.lit(high)).cast("double")
+    share = F.when(F.col("slice") % 2 == 0, _hash_share(text)).otherwise((F.col("sid").cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)))
+    return out.withColumn("part", F.least(F.greatest(F.floor(share * parts), F.lit(0)), parts - 1).cast("long"))
+
+
+def next_bucket(rows: DataFrame) -> DataFrame:
+    """``slice``, ``part`` of each bucket that has rows, and ``to_slice``, ``to_part`` of the next larger one; the last one's is the first.
+
+    A window holds the parts of one slice, or one row a slice.
     """
-    low = ids.groupBy(F.shiftright("sid", BUCKET_BITS).alias("bucket")).agg(F.max("sid").alias("head"))
-    low = low.withColumn("g1", F.shiftright("bucket", GROUP_BITS)).withColumn("g2", F.shiftright("bucket", 2 * GROUP_BITS))
-    one = low.groupBy("g1", "g2").agg(F.min("bucket").alias("first"))
-    two = one.groupBy("g2").agg(F.min("first").alias("first"))
-    two = two.select("g2", F.lead("first").over(Window.orderBy("g2")).alias("after2"), F.min("first").over(Window.partitionBy()).alias("least"))
-    one = one.select("g1", "g2", F.lead("first").over(Window.partitionBy("g2").orderBy("g1")).alias("after1"))
-    own = F.lead("bucket").over(Window.partitionBy("g1").orderBy("bucket"))
-    return low.withColumn("own", own).join(one, ["g1", "g2"]).join(two, "g2").select(
-        "bucket", "head", F.coalesce("own", "after1", "after2", "least").alias("to"))
+    own = rows.select("slice", "part").distinct()
+    first = own.groupBy("slice").agg(F.min("part").alias("first"))
+    here = F.struct("slice", F.col("first").alias("part"))
+    after = first.select("slice", F.lead(here).over(Window.orderBy("slice")).alias("after"), F.min(here).over(Window.partitionBy()).alias("least"))
+    inside = F.lead("part").over(Window.partitionBy("slice").orderBy("part"))
+    met = own.withColumn("inside", inside).join(after, "slice")
+    to = F.when(F.col("inside").isNotNull(), F.struct("slice", F.col("inside").alias("part"))).otherwise(F.coalesce("after", "least"))
+    return met.select("slice", "part", to["slice"].alias("to_slice"), to["part"].alias("to_part"))
 
 
 def with_next(docs: DataFrame, doc_id: str, text: str, carried: list[str]) -> DataFrame:
@@ -101,16 +141,24 @@ def with_next(docs: DataFrame, doc_id: str, text: str, carried: list[str]) -> Da
 
     Each bucket of ids also gets the largest row of the bucket below, so that no row looks beyond its own.
     """
-    keyed = docs.withColumn("sid", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")))
-    links = next_bucket(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("sid")))
-    heads = links.select(F.col("head").alias("sid"), F.col("to").alias("bucket"))
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("sid", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")))
+
+    # rows of one id are ordered by their texts' hashes, then by their texts
+    order = [F.col("sid"), F.xxhash64(text), F.col(text)]
+    found = cuts_of(keyed(docs.select(doc_id)))
+    own = placed(keyed(docs), found, text).withColumn("copy", F.lit(False))
+    # only ids and texts are read for the largest row of each bucket
+    tops = placed(keyed(docs.select(doc_id, text)), found, text).groupBy("slice", "part").agg(F.max(F.struct("sid", F.xxhash64(text).alias("h"))).alias("top"))
+    links = stage(tops.join(next_bucket(tops), ["slice", "part"]))
+    heads = links.select(F.col("top.sid").alias("sid"), F.col("top.h").alias("h"), "to_slice", "to_part")
     few = heads.limit(1_000_001).count() <= 1_000_000
-    own = keyed.withColumn("bucket", F.shiftright("sid", BUCKET_BITS)).withColumn("copy", F.lit(False))
-    lent = keyed.join(F.broadcast(heads) if few else heads, "sid").withColumn("copy", F.lit(True))
-    w = Window.partitionBy("bucket").orderBy("copy", F.desc("sid"), F.desc(text))
-    both = own.unionByName(lent.select(*own.columns))
+    lent = own.withColumn("h", F.xxhash64(text)).join(F.broadcast(heads) if few else heads, ["sid", "h"])
+    lent = lent.select(*[c for c in own.columns if c not in ("slice", "part", "copy")], F.col("to_slice").alias("slice"), F.col("to_part").alias("part"), F.lit(True).alias("copy"))
+    w = Window.partitionBy("slice", "part").orderBy("copy", *[c.desc() for c in order])
+    both = own.unionByName(lent)
     both = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
-    return both.filter(~F.col("copy")).drop("sid", "bucket", "copy")
+    return both.filter(~F.col("copy")).drop("sid", "slice", "part", "copy")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

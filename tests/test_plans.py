@@ -174,3 +174,20 @@ def test_quantiles_and_ranks_of_heavy_tails(spark):
     for k in (0, 1):
         order = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))
         assert [got[k, x[2]] for x in order] == list(range(1, 3001))
+
+
+def test_windows_gathered_in_blocks_equal_window_rows(spark, sf):
+    from touchline import constants as C
+    from touchline.catalog import tables as T
+    from touchline.operators import features, labels, windows
+    from touchline.session import stage
+    from touchline.sources import star_tables as S
+
+    context = stage(T.context(spark, sf, True).filter("match_id = 1"))
+    samples = stage(labels.build_labels(context.drop("players"), S.orientation(spark))[0])
+    table = stage(features.match_features(context, S.orientation(spark)))
+    place = C.FEATURES.index("ball_x")
+    want = {r["row_no"]: r["x"] for r in windows.window_rows(table, samples).groupBy("row_no").agg(F.sum(F.col("step") * F.col("ball_x")).alias("x")).collect()}
+    for width in (130, 4096):
+        got = windows.measured_windows(table, samples, lambda x: {"x": (x[:, :, place] * np.arange(x.shape[1])).sum(axis=1)}, "x double", width=width).collect()
+        assert {r["row_no"]: pytest.approx(r["x"]) for r in got} == want and len(got) == len(want)

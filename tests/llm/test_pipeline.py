@@ -135,3 +135,12 @@ def test_stages_but_the_last_return_documents(spark, tables, tmp_path):
             assert out.columns == list(corpus_pipeline.COLUMNS)
         assert step(spark, empty, str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_one_row_stays_of_repeated_ones(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, long), (1, long), (1, long), (5, "other text"), (5, "other text"), (5, "a third"), (None, "no id"), (None, "no id"), (None, "another"), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, long), (5, "a third"), (None, "no id"), (None, "another"), (7, None)], key=str)

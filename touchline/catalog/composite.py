@@ -8,7 +8,7 @@ from touchline.catalog.analysis import _AP, _EM, _SIGNALS, _inferred
 from touchline.catalog.core import _WIN
 from touchline.catalog.live import _MATCH, _epts_metadata, _path
 from touchline.catalog.registry import R, query, r6
-from touchline.operators import drift, evaluation, features, labels, models, orientation, protocol, windows
+from touchline.operators import drift, evaluation, features, folds, labels, models, orientation, protocol, windows
 from touchline.session import stage
 from touchline.sources import manifest, prepared, sinks, tracking_csv
 from touchline.sources import star_tables as S
@@ -135,7 +135,7 @@ def _features_and_samples(spark, d):
     return features.match_features(ctx, S.orientation(spark)), s
 
 
-@query("predict_windows", f"{_WIN} SELECT match_id, frame, round(avg(ball_x::FLOAT::DOUBLE),4) AS probability, round(sum({'+'.join(f'{f}::FLOAT::DOUBLE' for f in C.FEATURES)}),2) AS total, 'mean-x' AS model FROM wr GROUP BY 1, 2")
+@query("predict_windows", f"{_WIN} SELECT match_id, frame, round(avg(ball_x::FLOAT::DOUBLE),4)+0 AS probability, round(sum({'+'.join(f'{f}::FLOAT::DOUBLE' for f in C.FEATURES)}),2) AS total, 'mean-x' AS model FROM wr GROUP BY 1, 2")
 def predict_windows(spark, d):
     """A scorer of whole windows, called on batches of them inside the block they are gathered in."""
     place = C.FEATURES.index("ball_x")
@@ -146,7 +146,7 @@ def predict_windows(spark, d):
 
     f, s = _features_and_samples(spark, d)
     p = windows.measured_windows(f, s, scorer, "probability double, total double")
-    return p.select("match_id", F.col("row_no").alias("frame"), F.round("probability", 4).alias("probability"), F.round("total", 2).alias("total"), F.lit("mean-x").alias("model"))
+    return p.select("match_id", F.col("row_no").alias("frame"), (F.round("probability", 4) + F.lit(0.0)).alias("probability"), F.round("total", 2).alias("total"), F.lit("mean-x").alias("model"))
 
 
 @query("model_boosted", "[smp] SELECT match_id, count(*) AS n, true AS in_bounds, 'baseline-boosted' AS model FROM smp WHERE match_id = 0 GROUP BY 1")
@@ -157,3 +157,42 @@ def model_boosted(spark, d):
     fitted = models.fit_boosted(summary.filter("match_id <> 0"), iterations=10)
     p = models.score(fitted, summary.filter("match_id = 0"), "baseline-boosted")
     return p.groupBy("match_id", "model").agg(F.count(F.lit(1)).alias("n"), F.every((F.col("probability") >= 0) & (F.col("probability") <= 1)).alias("in_bounds"))
+
+
+def _summaries(spark, d):
+    """Window summaries of all samples, and the episodes on the same clock."""
+    ctx = stage(T.context(spark, d, True))
+    s, episodes = labels.build_labels(ctx.drop("players"), S.orientation(spark))
+    f = features.match_features(ctx, S.orientation(spark))
+    return stage(windows.measured_windows(f, s, windows.summary_of, ", ".join(f"{c} double" for c in models.summary_columns()))), episodes
+
+
+def _in_unit(*names):
+    """Whether each column lies in 0..1 where it has a value."""
+    return F.every(F.expr(" AND ".join(f"coalesce({n} BETWEEN 0 AND 1, true)" for n in names)))
+
+
+@query("cross_validate", """[smp] SELECT s.match_id AS held_out, 'baseline-logistic' AS model, s.n, s.positives, s.positives AS found_or_missed, e.episodes, true AS in_bounds, 4::BIGINT AS folds, 4::BIGINT AS listed
+    FROM (SELECT match_id, count(*) AS n, count(*) FILTER (hit) AS positives FROM smp GROUP BY 1) s LEFT JOIN (SELECT match_id, count(*) AS episodes FROM eps GROUP BY 1) e USING (match_id)""")
+def cross_validate(spark, d):
+    """Logistic models of all folds trained side by side, every match scored by the model that has not seen it."""
+    rows, episodes = _summaries(spark, d)
+    scored, metrics, summary = folds.cross_validate(rows.withColumn("fold", F.col("match_id").cast("int")), episodes, models.summary_columns(), S.MATCHES)
+    bounds = scored.groupBy("match_id").agg(_in_unit("probability", "threshold").alias("_p")).withColumnRenamed("match_id", "held_out")
+    lists = summary.select("model", F.size("folds").cast("bigint").alias("folds"), F.size("episode_recall").cast("bigint").alias("listed"))
+    m = metrics.join(bounds, "held_out").join(lists, "model")
+    inside = F.expr("_p AND coalesce(pr_auc BETWEEN 0 AND 1, true) AND precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1")
+    return m.select("held_out", "model", "n", "positives", (F.col("tp") + F.col("fn")).alias("found_or_missed"), "episodes", inside.alias("in_bounds"), "folds", "listed")
+
+
+@query("reference_split", "[smp] SELECT DISTINCT match_id AS held_out, 'baseline-logistic' AS model, true AS in_bounds FROM smp WHERE match_id = 0")
+def reference_split(spark, d):
+    """Match 0 held out, the threshold frozen on the alarms of the others."""
+    rows, episodes = _summaries(spark, d)
+
+    def fit(train):
+        fitted = models.fit_logistic(train)
+        return lambda samples: models.score(fitted, samples, "baseline-logistic")
+
+    r = protocol.reference_split(rows, stage(episodes), {"baseline-logistic": fit}, 0)
+    return r.groupBy("held_out", "model").agg(_in_unit("threshold", "pr_auc", "precision", "recall").alias("in_bounds"))

@@ -7,8 +7,10 @@ Predictions are (keys, row_no, time_s, team, probability, label); episodes are
 (keys, team, entry_time_s).
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,15 +109,52 @@ def group_alarms(
     ).withColumnRenamed("alarm_s", "start_s")
 
 
+def variant_alarms(
+    windows: DataFrame, fires: Callable[[pd.DataFrame], np.ndarray], number: str, keys: Sequence[str] = MATCH,
+    bridge_s: float = C.ALARM_BRIDGE_S, width: float = segments.SEGMENT_S, together: int = 64,
+) -> DataFrame:
+    """:func:`group_alarms` of many variants of what fires, numbered in ``number``, from one copy of the windows.
+
+    ``fires`` gives, for the windows of a time block, a matrix (windows, variants) of booleans. Alarms are cut in the block,
+    ``together`` variants at a time; only alarms leave it, and those of neighbouring blocks that belong together are joined.
+    """
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in windows.schema}
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["time_s", "row_no"], ignore_index=True)
+        t, team, row = (rows[c].to_numpy() for c in ("time_s", "team", "row_no"))
+        on, found = fires(rows), []
+        for low in range(0, on.shape[1], together):
+            variant, at = np.nonzero(on[:, low:low + together].T)
+            if not len(at):
+                continue
+            first = np.flatnonzero(np.append(True, (np.diff(variant) != 0) | (np.diff(t[at]) > bridge_s) | (team[at][1:] != team[at][:-1])))
+            a, b = at[first], at[np.append(first[1:], len(at)) - 1]
+            found.append(pd.DataFrame({number: variant[first] + low, "team": team[a], "start_s": t[a], "end_s": t[b], "first_row": row[a], "last_row": row[b]}))
+        out = pd.concat(found) if found else pd.DataFrame(columns=[number, "team", "start_s", "end_s", "first_row", "last_row"])
+        return out.assign(**{k: rows[k].iloc[0] for k in keys})[[*keys, number, "team", "start_s", "end_s", "first_row", "last_row"]]
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{number} int", f"team {types['team']}", "start_s double", "end_s double", "first_row long", "last_row long"])
+    blocks = windows.withColumn("_blk", segments.segment_of(F.col("time_s"), width)).groupBy(*keys, "_blk").applyInPandas(cut, schema)
+    named = segments.islands(blocks, [*keys, number], "start_s", "end_s", bridge_s, "alarm_s", tag="team", tie=["first_row"], width=width)
+    return named.groupBy(*keys, number, "alarm_s", "team").agg(
+        F.max("end_s").alias("end_s"), (F.max("last_row") - F.min("first_row") + 1).alias("n_windows"),
+    ).withColumnRenamed("alarm_s", "start_s")
+
+
 def _candidates(alarms: DataFrame, episodes: DataFrame, keys: Sequence[str], horizon_s: float) -> DataFrame:
-    """Alarm-episode pairs of one team with start <= entry <= end + horizon, met in time buckets."""
+    """Alarm-episode pairs of one team with start <= entry <= end + horizon, met in time buckets.
+
+    Episodes without some of the keys (a threshold, say) hold for every value of those.
+    """
     width = 12 * horizon_s
     b = lambda t: F.floor(t / F.lit(width)).cast("bigint")
     spread = alarms.withColumn("_b", F.explode(F.sequence(b(F.col("start_s")), b(F.col("end_s") + F.lit(horizon_s)))))
     listed = episodes.withColumn("_b", b(F.col("entry_time_s")))
     entry = F.col("entry_time_s")
     meets = (F.col("start_s") <= entry) & (F.col("end_s") >= entry - F.lit(horizon_s))
-    return spread.join(listed, [*keys, "team", "_b"]).filter(meets).drop("_b")
+    return spread.join(listed, [*(k for k in keys if k in episodes.columns), "team", "_b"]).filter(meets).drop("_b")
 
 
 def match_alarms(
@@ -220,44 +259,56 @@ def threshold_grid(low: float, high: float, n: int) -> list[float]:
     return [low + i * step for i in range(n - 1)] + [high]
 
 
-def _fired(predictions: DataFrame, grid: Sequence[float]) -> DataFrame:
-    """Predictions once per threshold they reach; the loop variable is a column."""
-    limits = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(grid)])
-    reached = F.filter(limits, lambda g: g["t"] <= F.col("probability"))
-    return predictions.withColumn("_g", F.explode(reached)).withColumn("grid_no", F.col("_g.i")).drop("_g")
-
-
-def alarm_budget_curve(
-    predictions: DataFrame, episodes: DataFrame, grid: Sequence[float] | None = None,
+def alarm_budget_curves(
+    predictions: DataFrame, episodes: DataFrame, models: int, grid: Sequence[float] | None = None,
     horizon_s: float = C.HORIZON_S, bridge_s: float = C.ALARM_BRIDGE_S,
 ) -> DataFrame:
-    """Alarms, detections and the false-alarm rate over all matches, one row per threshold."""
+    """Alarms, detections and the false-alarm rate over all matches, one row per model and threshold.
+
+    ``probabilities`` holds a window's score by each of ``models`` models, NULL where the window is not that model's. Windows are
+    shuffled once for all models and thresholds; a match counts for a model that scores windows of it.
+    """
     grid = list(grid) if grid is not None else threshold_grid(0.05, 0.98, 94)
-    keys = ["match_id", "grid_no"]
-    alarms = stage(group_alarms(_fired(predictions, grid), keys, bridge_s))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("grid_no")
-    matched = match_alarms(alarms, episodes.select("*", numbers), keys, horizon_s)
-    minutes = match_spans(predictions).agg(F.sum("minutes").alias("minutes"))
-    raised = alarms.groupBy("grid_no").agg(F.count(F.lit(1)).alias("alarms"))
-    found = matched.groupBy("grid_no").agg(F.count(F.lit(1)).alias("detected"))
+    n, limits, keys = len(grid), np.array(grid), ["match_id", "_variant"]
+
+    def fires(rows: pd.DataFrame) -> np.ndarray:
+        p = np.array([list(x) for x in rows["probabilities"]], float)
+        return (p[:, :, None] >= limits).reshape(len(p), models * n)
+
+    asked = predictions.select("match_id", "row_no", "time_s", "team", "probabilities")
+    alarms = stage(variant_alarms(asked.filter(F.exists("probabilities", lambda p: p >= F.lit(min(grid)))), fires, "_variant", bridge_s=bridge_s))
+    matched = match_alarms(alarms, episodes, keys, horizon_s)
+    raised = alarms.groupBy("_variant").agg(F.count(F.lit(1)).alias("alarms"))
+    found = matched.groupBy("_variant").agg(F.count(F.lit(1)).alias("detected"))
+    scored = predictions.select("match_id", "time_s", F.posexplode("probabilities").alias("model_no", "_p")).filter("_p IS NOT NULL")
+    minutes = match_spans(scored, ["match_id", "model_no"]).groupBy("model_no").agg(F.sum("minutes").alias("minutes"))
     levels = F.explode(F.array(*[
         F.struct(F.lit(i).alias("grid_no"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])).alias("g")
-    rows = minutes.select("minutes", levels).select("minutes", "g.*")
-    rows = rows.join(raised, "grid_no", "left").join(found, "grid_no", "left").fillna(0, ["alarms", "detected"])
+    rows = minutes.select("model_no", "minutes", levels).select("model_no", "minutes", "g.*").withColumn("_variant", F.col("model_no") * n + F.col("grid_no"))
+    rows = rows.join(raised, "_variant", "left").join(found, "_variant", "left").fillna(0, ["alarms", "detected"])
     false = F.col("alarms") - F.col("detected")
     return rows.select(
-        "grid_no", "threshold", "alarms", "detected", false.alias("false_alarms"),
+        "model_no", "grid_no", "threshold", "alarms", "detected", false.alias("false_alarms"),
         (false / F.greatest(F.col("minutes"), F.lit(1e-9)) * C.MATCH_MINUTES).alias("false_alarms_per_90"),
     )
 
 
-def threshold_by_budget(curve: DataFrame, budget: float = C.FALSE_ALARM_BUDGET) -> DataFrame:
+def alarm_budget_curve(
+    predictions: DataFrame, episodes: DataFrame, grid: Sequence[float] | None = None,
+    horizon_s: float = C.HORIZON_S, bridge_s: float = C.ALARM_BRIDGE_S,
+) -> DataFrame:
+    """:func:`alarm_budget_curves` of the one model that scored ``probability``."""
+    one = predictions.withColumn("probabilities", F.array("probability"))
+    return alarm_budget_curves(one, episodes, 1, grid, horizon_s, bridge_s).drop("model_no")
+
+
+def threshold_by_budget(curve: DataFrame, budget: float = C.FALSE_ALARM_BUDGET, keys: Sequence[str] = ()) -> DataFrame:
     """Lowest threshold within the budget that detects something, else the one with the lowest rate."""
     ok = (F.col("false_alarms_per_90") <= budget) & (F.col("detected") > 0)
-    return curve.agg(
+    return curve.groupBy(*keys).agg(
         F.min(F.when(ok, F.col("threshold"))).alias("_ok"),
         F.min_by("threshold", F.struct("false_alarms_per_90", "grid_no")).alias("_least"),
-    ).select(F.coalesce("_ok", "_least").alias("threshold"), F.col("_ok").isNotNull().alias("within_budget"))
+    ).select(*keys, F.coalesce("_ok", "_least").alias("threshold"), F.col("_ok").isNotNull().alias("within_budget"))
 
 
 def precision_curve(predictions: DataFrame, grid: Sequence[float] | None = None) -> DataFrame:
@@ -348,10 +399,22 @@ def bootstrap_episode_metrics(
     samples: DataFrame, episodes: DataFrame, draws: DataFrame, threshold: float,
     horizon_s: float = C.HORIZON_S, bridge_s: float = C.ALARM_BRIDGE_S,
 ) -> DataFrame:
-    """Episode metrics per replicate: firing windows of drawn clusters, episodes once per draw."""
+    """Episode metrics per replicate: firing windows of drawn clusters, episodes once per draw.
+
+    A firing window carries the list of replicates that drew its cluster, so it is shuffled once.
+    """
     keys = ["match_id", "replicate"]
-    firing = samples.filter(F.col("probability") >= threshold).join(draws.drop("times"), ["match_id", "cluster_id"])
-    alarms = stage(group_alarms(firing, keys, bridge_s))
+    drawn_in = draws.groupBy("match_id", "cluster_id").agg(F.collect_list(F.col("replicate").cast("int")).alias("replicates"))
+    firing = samples.filter(F.col("probability") >= threshold).join(drawn_in, ["match_id", "cluster_id"])
+
+    def fires(rows: pd.DataFrame) -> np.ndarray:
+        lists = rows["replicates"].to_numpy()
+        numbers = np.concatenate(lists)
+        on = np.zeros((len(rows), numbers.max() + 1), bool)
+        on[np.repeat(np.arange(len(rows)), [len(x) for x in lists]), numbers] = True
+        return on
+
+    alarms = stage(variant_alarms(firing.select("match_id", "row_no", "time_s", "team", "replicates"), fires, "replicate", bridge_s=bridge_s))
     located = episode_clusters(samples, episodes, horizon_s).filter(F.col("cluster_id").isNotNull())
     kept = located.join(draws, ["match_id", "cluster_id"]).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

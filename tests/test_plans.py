@@ -201,3 +201,26 @@ def test_quantile_of_many_partitions_reads_one_sketch(spark):
     assert {r["k"]: r["quantiles"][0] for r in cut.collect()} == want
     # slices that a scan reads twice come from one sketch: merging it again in another order gives other splitters
     assert "percentile_approx" not in cut._jdf.queryExecution().toString()
+
+
+def test_windows_in_the_blocks_of_the_features(spark):
+    from touchline import constants as C
+    from touchline.catalog import tables as T
+    from touchline.operators import features, labels, windows
+    from touchline.session import stage
+    from touchline.sources import star_tables as S
+
+    context = stage(T.sourced_context(spark, "/root/testdata/sf0.01").filter("match_id = 1"))
+    samples = stage(labels.build_labels(context, S.orientation(spark))[0])
+    table = stage(features.match_features(context.withColumn("players", F.expr(S.PLAYERS)), S.orientation(spark)))
+    measure = lambda x: {"x": (x * np.arange(x.shape[1])[:, None]).sum(axis=(1, 2))}
+    want = {r["row_no"]: r["x"] for r in windows.measured_windows(table, samples, measure, "x double").collect()}
+    blocks = features.match_features(context, S.orientation(spark), width=3200, players=S.PLAYERS, back=C.OBSERVATION_FRAMES - 1)
+    met = windows.measured_windows(blocks, samples, measure, "x double", width=3200)
+    got = {r["row_no"]: r["x"] for r in met.collect()}
+    assert len(want) == samples.count() and got == want
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # frames meet once, as slim rows: neither the features nor the players are shuffled
+    assert "space_ahead_of_ball" in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "space_ahead_of_ball" in line]
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_blk" in line]) == 2

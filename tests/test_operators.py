@@ -334,3 +334,19 @@ def test_degradation_is_deterministic_and_clean_is_identity(spark, sf):
     assert sig(degrade.degrade_stream(f, "hostile", 5)) != sig(degrade.degrade_stream(f, "hostile", 6))
     clean = degrade.degrade_stream(f, "clean")
     assert clean.filter("sequence <> row_no - 1 or offset_s <> 0 or is_duplicate").count() == 0 and clean.count() == f.count()
+
+
+def test_bootstrap_counts_in_blocks_equal_joined_draws(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "DRAW_BLOCK", 4)
+    r = random.Random(3)
+    rows = [(m, i, i * 0.5, 0, r.choice([0.1, 0.6, 0.9]), r.randint(0, 1), i // 3 + (i // 50) * 7) for m, n in ((0, 130), (1, 2), (2, 40)) for i in range(n)]
+    w = spark.createDataFrame(rows, "match_id bigint, row_no bigint, time_s double, team bigint, probability double, label int, cluster_id bigint")
+    joined = w.join(evaluation.bootstrap_draws(w, replicates=12, seed=5), ["match_id", "cluster_id"])
+    plain = evaluation.window_counts(joined, 0.5, ["match_id", "replicate"], F.col("times"))
+    want = {(x["match_id"], x["replicate"]): (x["tp"], x["fp"], x["fn"]) for x in plain.collect()}
+    counted = evaluation.bootstrap_window_counts(w, 0.5, replicates=12, seed=5)
+    got = {(x["match_id"], x["replicate"]): (x["tp"], x["fp"], x["fn"]) for x in counted.collect()}
+    # a match of one cluster has no replicate
+    assert got == want and {m for m, _ in got} == {0, 2} and len(got) == 24
+    # the replicates are dealt out by number of tasks, however few rows their table has
+    assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().toString()

@@ -7,6 +7,7 @@ Predictions are (keys, row_no, time_s, team, probability, label); episodes are
 (keys, team, entry_time_s).
 """
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -369,6 +370,60 @@ def bootstrap_draws(samples: DataFrame, replicates: int = C.BOOTSTRAP_REPLICATES
     return counts.join(indexed, ["match_id", "_i"]).select("match_id", "replicate", "cluster_id", "times")
 
 
+#: clusters of a block of draws, and the tasks that the replicates are dealt to
+DRAW_BLOCK, DRAW_TASKS = 4096, 256
+
+
+def _draw_blocks(indexed: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(match_id, _blk, replicate, times BINARY): how often a replicate draws each cluster of a block, as :func:`bootstrap_draws`.
+
+    A replicate is drawn in one go, a number a cluster of its match, and leaves its task in blocks of counts.
+    """
+    kind = dict(indexed.dtypes)["match_id"]
+
+    def draw(batches):
+        for rows in batches:
+            for match, c, replicate in zip(rows["match_id"], rows["_c"], rows["replicate"], strict=True):
+                prefix, times = f"{seed}:{match}:{replicate}:".encode(), np.zeros(c, np.int64)
+                for low in range(1, c + 1, 1 << 16):
+                    digests = b"".join([hashlib.md5(prefix + b"%d" % i).digest()[:4] for i in range(low, min(low + (1 << 16), c + 1))])
+                    times += np.bincount(np.frombuffer(digests, ">u4") % c, minlength=c)
+                packed = times.astype(np.uint8 if times.max() < 256 else np.uint32)
+                yield pd.DataFrame({"match_id": match, "_blk": range(-(-c // DRAW_BLOCK)), "replicate": replicate,
+                                    "times": [packed[b:b + DRAW_BLOCK].tobytes() for b in range(0, c, DRAW_BLOCK)]})
+
+    sizes = indexed.filter(F.col("_c") > 1).groupBy("match_id").agg(F.max("_c").alias("_c"))
+    each = sizes.select("match_id", "_c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    return each.repartition(DRAW_TASKS, "match_id", "replicate").mapInPandas(draw, f"match_id {kind}, _blk long, replicate int, times binary")
+
+
+def bootstrap_window_counts(samples: DataFrame, threshold: float, replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = 0) -> DataFrame:
+    """(match_id, replicate, tp, fp, fn) over the clusters of :func:`bootstrap_draws`.
+
+    Draws and the counts of clusters meet in blocks of clusters, a matrix product each; no draw becomes a row.
+    """
+    counts = window_counts(samples, threshold, ["match_id", "cluster_id"]).withColumn(SEG, segments.segment_of(F.col("cluster_id"), 4096))
+    indexed = stage(segments.number_rows(counts, ["match_id"], [SEG], ["cluster_id"], name="_i", total="_c").select("match_id", "_i", "_c", "tp", "fp", "fn"))
+    names = ["tp", "fp", "fn"]
+
+    def add(drawn: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
+        if not len(drawn):
+            return pd.DataFrame(columns=["match_id", "replicate", *names])
+        # sums of a block stay far below 2^53: doubles add them exactly
+        of = clusters.sort_values("_i")[names].to_numpy(float)
+        sums = []
+        for low in range(0, len(drawn), 64):
+            part = drawn["times"].iloc[low:low + 64]
+            sums.append(np.stack([np.frombuffer(t, np.uint8 if len(t) == len(of) else np.uint32) for t in part]).astype(float) @ of)
+        out = pd.DataFrame(np.concatenate(sums).astype(np.int64), columns=names)
+        return out.assign(match_id=drawn["match_id"].to_numpy(), replicate=drawn["replicate"].to_numpy())[["match_id", "replicate", *names]]
+
+    blocks = indexed.withColumn("_blk", F.floor((F.col("_i") - 1) / F.lit(DRAW_BLOCK)).cast("bigint"))
+    met = _draw_blocks(indexed, replicates, seed).groupBy("match_id", "_blk").cogroup(blocks.groupBy("match_id", "_blk"))
+    sums = met.applyInPandas(add, f"match_id {dict(indexed.dtypes)['match_id']}, replicate int, tp long, fp long, fn long")
+    return sums.groupBy("match_id", "replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def episode_clusters(samples: DataFrame, episodes: DataFrame, horizon_s: float = C.HORIZON_S) -> DataFrame:
     """Episode to the cluster of its team's last sample in ``[entry - horizon, entry]``; NULL if none."""
     b = lambda t: F.floor(t / F.lit(horizon_s)).cast("bigint")

@@ -456,3 +456,32 @@ def test_viterbi_equals_enumeration():
 
 def test_main_text_of_an_empty_table(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id", "url"]).count() == 0
+
+
+def test_a_block_is_let_go_while_it_is_read():
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from touchline.llm import substring
+
+    class Batches:
+        """Batches that are only known by weak references."""
+        def __init__(self):
+            self.seen = []
+
+        def __iter__(self):
+            for i in range(3):
+                batch = pa.RecordBatch.from_arrays([pa.array(range(substring.BLOCK_ROWS))], names=["a"])
+                self.seen.append(weakref.ref(batch))
+                box = [batch]
+                del batch
+                yield box.pop()
+
+    source = Batches()
+    for n, block in enumerate(substring._blocks(source)):
+        gc.collect()
+        assert block.num_rows == substring.BLOCK_ROWS
+        assert not any(r() is not None and r() is not block for r in source.seen), n
+    assert len(source.seen) == 3

@@ -58,10 +58,15 @@ def _blocks(batches):
         held.append(batch)
         rows, size = rows + batch.num_rows, size + batch.nbytes
         if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
-            yield pa.concat_batches(held)
+            block = pa.concat_batches(held)
+            # nothing of a block stays here while its reader works on it
+            del batch
             held, rows, size = [], 0, 0
+            yield block
+            del block
     if held:
-        yield pa.concat_batches(held)
+        block, held = pa.concat_batches(held), []
+        yield block
 
 
 def _split(hashes: np.ndarray, ids: np.ndarray):
@@ -84,9 +89,12 @@ def _shared_minimizers(docs: DataFrame) -> DataFrame:
                 w = words.Words(texts[a:b])
                 at = np.unique(_minimizers(w)[1])
                 found.append((words.ngrams(w.hash, MINIMIZER)[at].view(np.int64), w.text[at] + a))
+            # the texts are not read again: only the hashes of the block are sorted
+            del block, some, texts
             if not found:
                 continue
             h, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
             if not len(h):
                 continue
             at = np.lexsort((row, h))
@@ -148,9 +156,11 @@ def _earlier(docs: DataFrame, anchors: DataFrame) -> DataFrame:
                 known = np.unique(lists.slice(a, b - a).flatten().to_numpy())
                 at = windows[np.isin(grams[chosen].view(np.int64), known)]
                 found.append((words.ngrams(w.hash, WINDOW)[at].view(np.int64), w.text[at] + a, at - w.first[w.text[at]]))
+            del batch, lists, texts
             if not found:
                 continue
             h, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
             if not len(h):
                 continue
             at, first, later = _split(h, ids[row])

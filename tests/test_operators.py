@@ -6,6 +6,7 @@ import pytest
 from policy_plain import SCORED, policy_loop, scored_rows
 from pyspark.sql import functions as F
 
+from touchline.catalog import tables
 from touchline import constants as C
 from touchline import schema
 from touchline.functions import text
@@ -350,3 +351,14 @@ def test_bootstrap_counts_in_blocks_equal_joined_draws(spark, monkeypatch):
     assert got == want and {m for m, _ in got} == {0, 2} and len(got) == 24
     # the replicates are dealt out by number of tasks, however few rows their table has
     assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().toString()
+
+
+def test_players_made_of_columns_are_made_behind_the_windows(spark, sf, capsys):
+    orientation = S.orientation(spark)
+    made = features.match_features(tables.sourced_context(spark, sf), orientation, players=S.PLAYERS)
+    made.explain()
+    windows_of = [line for line in capsys.readouterr().out.splitlines() if "Window [" in line]
+    assert windows_of and not [line for line in windows_of if "players" in line]
+    keys = ["match_id", "attacking_team", "frame"]
+    some = lambda df: df.filter("frame <= 40").select(*keys, "attack_mean_v_goalward", "defence_mean_v_goalward", "gk_dist_to_ball").orderBy(*keys).collect()
+    assert some(made) == some(features.match_features(tables.context(spark, sf, players=True), orientation))

@@ -362,3 +362,31 @@ def test_players_made_of_columns_are_made_behind_the_windows(spark, sf, capsys):
     keys = ["match_id", "attacking_team", "frame"]
     some = lambda df: df.filter("frame <= 40").select(*keys, "attack_mean_v_goalward", "defence_mean_v_goalward", "gk_dist_to_ball").orderBy(*keys).collect()
     assert some(made) == some(features.match_features(tables.context(spark, sf, players=True), orientation))
+
+
+def test_bootstrap_in_blocks_equals_drawn_rows(spark, monkeypatch):
+    """Scores and alarms added up in blocks, with stretches that fit a time block and ones that do not."""
+    monkeypatch.setattr(evaluation, "DRAW_BLOCK", 4)
+    r = random.Random(8)
+    rows = [(m, i, i * 0.5, (i // 9) % 2, r.choice([0.1, 0.2, 0.6, 0.9]) if i % 60 > 14 else 0.1, r.randint(0, 1), i // 3 + (i // 50) * 7)
+            for m, n in ((0, 240), (1, 2), (2, 40)) for i in range(n)]
+    w = spark.createDataFrame(rows, "match_id bigint, row_no bigint, time_s double, team bigint, probability double, label int, cluster_id bigint")
+    eps = _episodes(spark, [(r.choice([0, 1]), round(r.uniform(0, 120), 1)) for _ in range(40)])
+    eps = eps.withColumn("match_id", F.when(F.rand(1) < 0.8, 0).otherwise(2).cast("bigint")).localCheckpoint()
+    draws = evaluation.bootstrap_draws(w, replicates=70, seed=5).localCheckpoint()
+    keys = ["match_id", "replicate"]
+    indexed = evaluation._numbered_clusters(w)
+    drawn = evaluation._draw_blocks(indexed, 70, 5)
+
+    joined = w.join(draws, ["match_id", "cluster_id"])
+    area = {(x[0], x[1]): x[2] for x in evaluation.average_precision(joined, keys, F.col("times")).collect()}
+    scores = evaluation.bootstrap_window_metrics(evaluation.bootstrap_scores(w, indexed, drawn), 0.5)
+    assert {(x[0], x[1]): x["window_pr_auc"] for x in scores.collect()} == pytest.approx(area)
+
+    ratio = lambda a, b: a / b if b else 0.0
+    plain = evaluation.bootstrap_episode_metrics(w, eps, draws, 0.5).collect()
+    want = {(x["match_id"], x["replicate"], i): x[of] for x in plain for i, of in enumerate(("episode_precision", "episode_recall"))}
+    for width in (900.0, 12.0):
+        counts = evaluation.bootstrap_alarm_counts(w, eps, indexed, drawn, 0.5, 70, width=width).collect()
+        got = {(x["match_id"], x["replicate"], i): ratio(x["detected"], x[of]) for x in counts for i, of in enumerate(("alarms", "episodes"))}
+        assert got == pytest.approx(want) and any(0 < x["detected"] < x["alarms"] for x in counts)

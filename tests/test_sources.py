@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import orientation, quality
+from touchline.operators import features, orientation, quality
 from touchline.sources import epts, events_csv, manifest, tracking_csv
+from touchline.sources.text_order import index_frames
 
 HEAD = ",,,Home,,Home,,\n,,,11,,1,,\nPeriod,Frame,Time [s],Player11,,Player1,,Ball,\n"
 
@@ -160,3 +161,19 @@ def test_prepare_dataset_end_to_end(spark, sf, tmp_path):
     f = prepared.load_prepared(spark, out["features"], [1])
     assert f.select("match_id").distinct().count() == 1 and f.count() == 2 * S.frames(spark, sf).filter("match_id = 1").count()
     assert spark.read.json(out["summary"]).first()["feature_schema"] == "37eda41cef0a592c"
+
+
+def test_unpacked_players_are_made_once(spark):
+    made = "transform(sequence(1, id + 1), i -> named_struct('team', 'home', 'player_id', string(i), 'x', i * 1D, 'y', 0D)) AS players"
+    rows = features.unpack_players(spark.range(3).selectExpr("0 AS match_id", "1 AS period", "id AS frame", made))
+    assert rows.count() == 6
+    # no filter on the array, which would make it again
+    assert "size(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_of_both_halves_are_numbered_from_one_window(spark):
+    frames = spark.createDataFrame([(m, 1 + (f > 7), f) for m in (1, 2) for f in range(3, 16)], "match_id int, period int, frame bigint")
+    got = index_frames(frames.repartition(3), width=4)
+    want = [(m, f, f - 2, f - 2 if f <= 7 else f - 7) for m in (1, 2) for f in range(3, 16)]
+    assert sorted((r["match_id"], r["frame"], r["row_no"], r["period_row"]) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1

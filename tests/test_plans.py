@@ -124,6 +124,13 @@ def test_anchored_groups_across_blocks(spark, seed, tagged, dense):
         assert [got[(k, x[2])][1] for x in mine] == [x[1] == a for x, a in zip(mine, want)]
 
 
+def test_anchored_blocks_are_dealt_out_and_summarised_once(spark):
+    df = spark.createDataFrame([(0, float(i), i) for i in range(50)], "k int, t double, i bigint")
+    plan = anchored_groups(df, ["k"], "t", "i", 10.0, block_s=12.0)._jdf.queryExecution().optimizedPlan().toString()
+    # dealt out by number, which adaptive execution leaves alone; only the labels read the rows here, the summaries are a stage table
+    assert plan.count("RepartitionByExpression") == 1
+
+
 def test_exact_quantiles(spark):
     r = random.Random(5)
     values = [(0, r.choice([1.0, 1.0, 2.5, r.random() * 100])) for _ in range(501)] + [(1, 7.0)]

@@ -390,3 +390,12 @@ def test_bootstrap_in_blocks_equals_drawn_rows(spark, monkeypatch):
         counts = evaluation.bootstrap_alarm_counts(w, eps, indexed, drawn, 0.5, 70, width=width).collect()
         got = {(x["match_id"], x["replicate"], i): ratio(x["detected"], x[of]) for x in counts for i, of in enumerate(("alarms", "episodes"))}
         assert got == pytest.approx(want) and any(0 < x["detected"] < x["alarms"] for x in counts)
+
+
+def test_some_features_are_those_of_all_and_cost_no_more_than_they_need(spark):
+    sf, names = "/root/testdata/sf0.001", ("defensive_line_x", "mean_three_nearest_defender_dist", "ball_speed")
+    narrow, whole = tables.match_features(spark, sf, names), tables.match_features(spark, sf)
+    some = lambda rows: sorted(map(tuple, rows.filter("match_id = 1 AND frame < 400").select("attacking_team", "frame", *names).collect()))
+    assert some(narrow) == some(whole)
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "spread" not in plan and "home_entries" not in plan and "_pair" not in plan

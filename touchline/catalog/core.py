@@ -366,7 +366,7 @@ def _feature_sql(columns: dict, parts: str, source: str, group: bool = True) ->
 
 
 def _features(spark, d, names):
-    return T.match_features(spark, d).select("match_id", "attacking_team", "frame", *[r6(n).alias(n) for n in names])
+    return T.match_features(spark, d, names).select("match_id", "attacking_team", "frame", *[r6(n).alias(n) for n in names])
 
 
 def _register_features(name: str, columns: dict, sql: str):

@@ -399,3 +399,15 @@ def test_some_features_are_those_of_all_and_cost_no_more_than_they_need(spark):
     assert some(narrow) == some(whole)
     plan = narrow._jdf.queryExecution().optimizedPlan().toString()
     assert "spread" not in plan and "home_entries" not in plan and "_pair" not in plan
+
+
+def test_stage_counters_keep_both_histograms(spark):
+    rows = spark.createDataFrame(
+        [("dead_ball", 0.05, 0.0005), ("dead_ball", 0.06, 2.0), ("dead_ball", None, None), (None, 1.0, 0.3)], "reason string, probability double, latency_s double")
+    got = {(r.metric, r.reason, r.le): (r.n, r.total) for r in editorial.stage_counters(rows, "reason").collect()}
+    assert len(got) == 2 * (1 + len(C.CONFIDENCE_BUCKETS) + 1 + len(C.LATENCY_BUCKETS) + 1)
+    assert got["outcomes", "dead_ball", None] == (3, None) and got["outcomes", None, None] == (1, None)
+    of = lambda metric, reason: [n for (m, r, _), (n, _) in sorted(got.items(), key=lambda i: i[0][2] or 0) if (m, r) == (metric, reason)]
+    assert of("confidence", "dead_ball") == [1] + [2] * 12 and of("confidence", None) == [0] * 11 + [1, 1]
+    assert of("latency", "dead_ball") == [1] * 11 + [2] and of("latency", None) == [0] * 9 + [1, 1, 1]
+    assert got["confidence", "dead_ball", 1.0][1] == pytest.approx(0.11) and got["latency", None, 1.0][1] == pytest.approx(0.3)

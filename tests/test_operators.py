@@ -11,7 +11,7 @@ from touchline import constants as C
 from touchline import schema
 from touchline.functions import text
 from touchline.operators import (
-    degrade, drift, editorial, evaluation, features, labels, orientation, possession, quality, windows,
+    degrade, drift, editorial, evaluation, features, labels, orientation, possession, quality, shapes, windows,
 )
 from touchline.sources import star_tables as S
 
@@ -411,3 +411,40 @@ def test_stage_counters_keep_both_histograms(spark):
     assert of("confidence", "dead_ball") == [1] + [2] * 12 and of("confidence", None) == [0] * 11 + [1, 1]
     assert of("latency", "dead_ball") == [1] * 11 + [2] and of("latency", None) == [0] * 9 + [1, 1, 1]
     assert got["confidence", "dead_ball", 1.0][1] == pytest.approx(0.11) and got["latency", None, 1.0][1] == pytest.approx(0.3)
+
+
+def test_players_are_measured_in_batches_as_one_by_one(spark):
+    """Squads of unequal size, a squad of one, no keeper, unknown places: against plain loops."""
+    r = random.Random(4)
+    place = lambda: None if r.random() < 0.2 else r.randint(-52, 52) * 1.0
+    squad = lambda: [(r.choice(C.TEAMS), f"p{i}", r.random() < 0.2, place(), place(), None if r.random() < 0.2 else r.uniform(-3, 3)) for i in range(r.randint(0, 7))]
+    rows = [(i, squad(), place(), place(), *r.choice([(1, -1), (-1, 1)])) for i in range(400)] + [(400, None, 1.0, 2.0, 1, -1)]
+    df = spark.createDataFrame(rows, "i int, players array<struct<team:string,player_id:string,is_gk:boolean,x:double,y:double,vx:double>>, ball_x double, ball_y double, home_sign int, away_sign int")
+    lists = {c: F.col(f"players.{c}") for c in ("team", "is_gk", "x", "y", "vx")}
+    table = df.withColumn("f", shapes.frame_features(list(shapes.FEATURES), lists))
+    assert "sort_array" not in table._jdf.queryExecution().toString()
+    got = {x["i"]: x["f"] for x in table.collect()}
+    mean = lambda v, other: sum(v) / len(v) if v else other
+    sd = lambda v: mean([(x - mean(v, 0)) ** 2 for x in v], 0) ** 0.5
+    for i, players, bx, by, *signs in rows:
+        players = players or []
+        for side, s in zip(C.TEAMS, signs, strict=True):
+            a, d = ([p for p in players if (p[0] == side) == mine] for mine in (True, False))
+            far = lambda team: sorted(((p[3] - bx) ** 2 + (p[4] - by) ** 2) ** 0.5 for p in team if None not in (p[3], p[4], bx, by))
+            xs = lambda team: sorted(p[3] * s for p in team if not p[2] and p[3] is not None)
+            known = [p for p in d if p[3] is not None]
+            gk = next((p for p in d if p[2]), min(known, key=lambda p: (p[3] * s, -99 if p[4] is None and s > 0 else 99 if p[4] is None else p[4] * s)) if known else None)
+            goal = ((gk[3] * s - 52.5) ** 2 + gk[4] ** 2) ** 0.5 if gk and None not in gk[3:5] else C.FAR_M
+            second = lambda team: (far(team) + [C.FAR_M] * 2)[1 if len(team) > 1 else 0]
+            speeds = [p[5] for p in a if p[5] is not None]
+            want = {
+                "attackers_ahead_of_ball": sum(p[3] * s > bx * s for p in a if p[3] is not None and bx is not None),
+                "attackers_in_box": sum(p[3] * s >= C.BOX_X_MIN and abs(p[4]) <= C.BOX_Y_MAX for p in a if None not in p[3:5]),
+                "attack_centroid_x": mean(xs(a), 0.0), "attack_depth": sd(xs(a)), "attack_width": sd([p[4] for p in a if not p[2] and p[4] is not None]),
+                "attack_highest_x": max(xs(a), default=0.0), "attack_mean_v_goalward": mean(speeds, 0.0) * s,
+                "attackers_moving_goalward": sum(v * s > 0.5 for v in speeds), "defensive_line_x": mean(xs(d)[:4], 0.0),
+                "gk_dist_to_goal": goal, "nearest_defender_dist": (far(d) + [C.FAR_M])[0], "second_nearest_defender_dist": second(d),
+                "nearest_attacker_support_dist": second(a), "mean_three_nearest_defender_dist": mean(far(d)[:3], C.FAR_M),
+                "defenders_within_10m_of_ball": sum(v <= 10 for v in far(d)),
+            }
+            assert {n: got[i][side][n] for n in want} == pytest.approx(want, abs=1e-9), (i, side)

@@ -448,3 +448,17 @@ def test_players_are_measured_in_batches_as_one_by_one(spark):
                 "defenders_within_10m_of_ball": sum(v <= 10 for v in far(d)),
             }
             assert {n: got[i][side][n] for n in want} == pytest.approx(want, abs=1e-9), (i, side)
+
+
+def test_boosting_goes_on_while_it_gains(spark):
+    from touchline.operators import models
+
+    falling = [1.0 - 0.001 * i for i in range(60)]
+    assert models.best_iteration(falling, 20) == (60, False)
+    assert models.best_iteration([*falling, *[0.95] * 20, 0.1], 20) == (60, True)
+    assert models.best_iteration([1.0, *[1.1] * 19, 0.9], 20) == (21, False) and models.best_iteration([], 20) == (0, False)
+    # a curve that one tree cannot follow: small gains go on for longer than ten trees
+    rows = spark.range(1500).selectExpr("0L AS match_id", "id AS row_no", "id / 1500D AS x", "id * 7919 % 1500 / 1500D AS z").selectExpr(
+        "*", "cast(sin(9 * x) + sin(11 * z) > 0.3 AS int) AS label")
+    model = models.fit_boosted(rows, ["x", "z"], iterations=14, patience=7)
+    assert model.stages[-1].getNumTrees == 14

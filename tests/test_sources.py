@@ -194,3 +194,19 @@ def test_prepare_dataset_makes_players_behind_the_shuffles(spark, sf, tmp_path,
     carried = prepared.prepare_dataset(one.withColumn("players", F.expr(S.PLAYERS)), S.events(spark, sf).filter("match_id = 1"), S.players(spark), str(tmp_path / "b"), overrides=overrides, strict=False)
     rows = lambda out: sorted(map(tuple, spark.read.parquet(out["features"]).drop("match_id").select("attacking_team", "frame", *C.FEATURES).collect()))
     assert len(rows(made)) == 800 and rows(made) == rows(carried)
+
+
+def test_lines_of_both_teams_are_shuffled_as_text_and_written_from_columns(spark, sf, tmp_path):
+    from touchline.sources import star_tables as S
+
+    frames = S.frames(spark, sf, source=True).filter("match_id = 1 AND frame <= 300")
+    for team in ("home", "away"):
+        tracking_csv.write_team(frames, str(tmp_path / team), team, [f"{team}_{i}" for i in range(5)], rows_per_file=128, made=S.PLAYERS, compression="gzip")
+    read = tracking_csv.read_match(spark, str(tmp_path / "home"), str(tmp_path / "away"), "1")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    # lines meet in blocks of frames: no join by frame, which shuffled arrays of players
+    assert "RepartitionByExpression" in plan and "FullOuter" not in plan
+    place = lambda p: None if p["x"] is None else (round(p["x"], 1), round(p["y"], 1))
+    some = lambda df: {r["frame"]: (r["row_no"], r["period_row"], [place(p) for p in r["players"]]) for r in df.collect()}
+    got = some(read)
+    assert len(got) == 300 and got == some(frames.withColumn("players", F.expr(S.PLAYERS)))
